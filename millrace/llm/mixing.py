@@ -69,9 +69,9 @@ def min_cost_flow(arcs: list[tuple], source, sink) -> tuple[float, dict[int, flo
 def _network(patterns: dict[tuple, float], targets: dict[str, tuple[float, int]], total: float) -> list[tuple]:
     arcs = []
     for p, tokens in sorted(patterns.items()):
-        for k in range(1, max(targets[s][1] for s in p) + 1):
+        for k in range(1, max(targets[s][1] for s in p if s in targets) + 1):
             arcs.append(("in", (p, k), tokens, float((k - 1) ** 2)))
-            arcs += [((p, k), s, tokens, 0.0) for s in p if targets[s][1] >= k]
+            arcs += [((p, k), s, tokens, 0.0) for s in p if s in targets and targets[s][1] >= k]
     return arcs + [(s, "out", share * total, 0.0) for s, (share, _) in sorted(targets.items())]
 
 
@@ -79,13 +79,13 @@ def route(patterns: dict[tuple, float], targets: dict[str, tuple[float, int]], t
     """(total, tokens by (pattern, layer, source)); sources without capacity are left out."""
     reached = {s for p in patterns if patterns[p] > 0 for s in p}
     live = {s: t for s, t in targets.items() if s in reached and t[0] > 0 and t[1] > 0}
-    patterns = {q: v for p, v in patterns.items() if v > 0 and (q := tuple(s for s in p if s in live))}
+    patterns = {p: v for p, v in patterns.items() if v > 0 and any(s in live for s in p)}
     scale = sum(t[0] for t in live.values())
     if not live or not patterns:
         return 0.0, {}
     live = {s: (share / scale, m) for s, (share, m) in live.items()}
     if total is None:
-        low, high = 0.0, sum(v * max(live[s][1] for s in p) for p, v in patterns.items())
+        low, high = 0.0, sum(v * max(live[s][1] for s in p if s in live) for p, v in patterns.items())
         for _ in range(60):
             mid = (low + high) / 2
             if min_cost_flow(_network(patterns, live, mid), "in", "out")[0] >= mid * (1 - 1e-6):
@@ -130,8 +130,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
     slots = []  # of a pattern's tokens in seeded order, [low, high) goes to a source in a layer
     at: dict[tuple, float] = defaultdict(float)
     for (p, k, s), f in sorted(flows.items()):
-        full = next(q for q in capacity if tuple(x for x in q if x in {y for g in flows for y in g[0]}) == p) if p not in capacity else p
-        slots.append((list(full), s, at[(p, k)], at[(p, k)] + f))
+        slots.append((list(p), s, at[(p, k)], at[(p, k)] + f))
         at[(p, k)] += f
     plan = spark.createDataFrame(slots, "pattern array<string>, source string, low double, high double")
     before = ranges.withColumn("base", F.sum("tokens").over(Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
