@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import budget, encode, mixing, neardup, split
+from millrace.llm import boilerplate, budget, encode, mixing, neardup, split, unparsed
 from millrace.runtime import materialise, table
 
 
@@ -14,6 +14,14 @@ def p1_token_budget(spark: SparkSession, folder: str) -> DataFrame:
     return code.unionByName(budget.token_budget(budget.document_slices(table(spark, folder, "documents")), "documents"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return unparsed.unparsed_records(table(spark, folder, "conversion_results"), table(spark, folder, "translation_results")).select("record_table", "record_id")
+
+
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return unparsed.failure_rates(table(spark, folder, "conversion_results"), table(spark, folder, "translation_results"), table(spark, folder, "code_entries"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.found_pairs(table(spark, folder, "code_entries"))
 
@@ -35,6 +43,14 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return both.where("piece_no = 1").select("record_table", "record_id").distinct()
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.boilerplate_lines(table(spark, folder, "web_pages"))
+
+
+def p7_main_content(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.main_content(table(spark, folder, "web_pages"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_corpus(table(spark, folder, "documents"))
 
@@ -54,10 +70,14 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p1_token_budget": p1_token_budget,
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p7_found": p7_found,
+    "p7_main_content": p7_main_content,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_mix": p9_mix,
