@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import boilerplate, budget, encode, mixing, neardup, split, unparsed
+from millrace.llm import boilerplate, budget, encode, generated, mixing, neardup, reading, split, unparsed
 from millrace.runtime import materialise, table
 
 
@@ -43,6 +43,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return both.where("piece_no = 1").select("record_table", "record_id").distinct()
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return generated.made_records(table(spark, folder, "code_entries"), table(spark, folder, "file_mappings"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.boilerplate_lines(table(spark, folder, "web_pages"))
 
@@ -68,6 +72,10 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(mixing.mix(table(spark, folder, "documents"), targets), targets)
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
+
+
 QUERIES = {
     "p1_token_budget": p1_token_budget,
     "p2_found": p2_found,
@@ -76,12 +84,14 @@ QUERIES = {
     "p3_groups": p3_groups,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_main_content": p7_main_content,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
 }
 
 ORACLE_SQL = {
