@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.operators import nested
+from millrace.operators import facts, metadata, nested, paths, vectors
 
-_MODULES = [nested]
+_MODULES = [nested, metadata, vectors, paths, facts]
 FLAGSHIP = nested.p4_found
 
 
