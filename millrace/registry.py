@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.operators import facts, metadata, nested, paths, vectors
+from millrace.operators import chunking, diagnosis, facts, graph, lines, metadata, nested, paths, vectors, web
 
-_MODULES = [nested, metadata, vectors, paths, facts]
+_MODULES = [nested, metadata, vectors, paths, facts, chunking, lines, web, diagnosis, graph]
 FLAGSHIP = nested.p4_found
 
 
