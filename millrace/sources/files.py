@@ -145,13 +145,18 @@ def config_issues(config: dict, rules: list[tuple[str, str, str, object]]) -> li
         at = config
         for part in field.split("."):
             at = at.get(part) if isinstance(at, dict) else None
-        said = {
-            "required": at is None and "is missing",
-            "type": at is not None and not isinstance(at, bound) and "has another type",
-            "min": isinstance(at, (int, float)) and at < bound and f"is under {bound}",
-            "max": isinstance(at, (int, float)) and at > bound and f"is over {bound}",
-            "choice": at is not None and at not in (bound if isinstance(bound, (list, tuple)) else [bound]) and "is no known choice",
-        }[kind]
+        number = isinstance(at, (int, float)) and not isinstance(at, bool)
+        said = None
+        if kind == "required" and at is None:
+            said = "is missing"
+        elif kind == "type" and at is not None and not isinstance(at, bound):
+            said = "has another type"
+        elif kind == "min" and number and at < bound:
+            said = f"is under {bound}"
+        elif kind == "max" and number and at > bound:
+            said = f"is over {bound}"
+        elif kind == "choice" and at is not None and at not in bound:
+            said = "is no known choice"
         if said:
             out.append({"level": level, "field": field, "message": said})
     return out
