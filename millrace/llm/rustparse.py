@@ -1300,18 +1300,22 @@ class Parser:
         self.need("}")
 
 
-def error_in(text: str) -> str | None:
-    """What keeps the text from being a Rust 2021 source file; None if nothing does.
+def examine(text: str) -> tuple[bool, str | None]:
+    """(whether there is any code, what keeps the text from being a Rust 2021 source file).
 
-    Texts without a token other than comments have no error.
+    Texts without a token other than comments have no code and no error.
     """
     try:
         kinds, toks = tokens(text)
         if all(x in ("doc", "idoc") for x in kinds):
-            return None
+            return False, None
         Parser(kinds, toks).file()
     except Malformed as e:
-        return str(e)[:120]
+        return True, str(e)[:120]
     except RecursionError:
-        return "nested too deeply"
-    return None
+        return True, "nested too deeply"
+    return True, None
+
+
+def error_in(text: str) -> str | None:
+    return examine(text)[1]

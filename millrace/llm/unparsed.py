@@ -28,9 +28,9 @@ def verdict(text: str | None) -> tuple[str, str | None, str | None]:
     """(ok, empty, foreign or corrupt; language it parses in; error)."""
     if text is None or not text.strip():
         return "empty", None, None
-    error = rustparse.error_in(text)
+    code, error = rustparse.examine(text)
     if error is None:
-        return "ok", "rust", None
+        return ("ok", "rust", None) if code else ("empty", None, None)
     other = foreign.foreign_language(text)
     return ("foreign", other, error) if other else ("corrupt", None, error)
 
