@@ -249,3 +249,14 @@ def p4_includes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_relations": p4_relations, "p4_nodes": p4_nodes, "p4_includes": p4_includes}
+
+_TREE = """WITH v AS (SELECT DISTINCT relation_id, relation FROM relation_files WHERE json_valid(relation)), t AS (SELECT v.relation_id, j.key, j.type, j.id, j.parent, j.atom->>'$' AS text FROM v, json_tree(v.relation) j),
+    l AS (SELECT * FROM t WHERE key IN ('local_includes', 'system_includes')),
+    i AS (SELECT relation_id, parent, key, text FROM l WHERE type = 'VARCHAR'
+        UNION ALL SELECT l.relation_id, l.parent, l.key, c.text FROM l JOIN t c ON c.relation_id = l.relation_id AND c.parent = l.id WHERE c.type = 'VARCHAR'
+        UNION ALL SELECT l.relation_id, l.parent, l.key, p.text FROM l JOIN t c ON c.relation_id = l.relation_id AND c.parent = l.id JOIN t p ON p.relation_id = c.relation_id AND p.parent = c.id
+            WHERE c.type = 'OBJECT' AND p.key = 'path' AND p.type = 'VARCHAR')"""
+ORACLE_SQL = {
+    "p4_found": f"""{_TREE} SELECT DISTINCT i.relation_id, coalesce(p.text, n.key) AS path, replace(i.key, '_includes', '') AS include_kind, i.text AS include FROM i JOIN t n ON n.relation_id = i.relation_id AND n.id = i.parent
+        LEFT JOIN t p ON p.relation_id = n.relation_id AND p.parent = n.id AND p.key = 'path' AND p.type = 'VARCHAR'""",
+}

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from millrace.runtime import table
 
-QUERY_BLOCK = 2048
-ROW_BLOCKS = 16
+#: Queries and rows of one block pair, which is one task's matrix product.
+QUERY_BLOCK, ROW_BLOCK = 1024, 32_768
 
 
 def norm(v: Column) -> Column:
@@ -43,13 +43,14 @@ def search(vectors: DataFrame, query: list[float], k: int = 10, threshold: float
 def search_all(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The k best rows for each query: query_id, vec_id, score, position.
 
-    Queries are taken in blocks of at most QUERY_BLOCK against blocks of rows; a
-    block pair is one matrix product and hands on k rows for each query.
+    Queries are taken in blocks of about QUERY_BLOCK against blocks of about ROW_BLOCK
+    rows; a block pair is one matrix product and hands on k rows for each query.
     """
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    r_blocks = max(1, -(-vectors.count() // ROW_BLOCK))
     q = queries.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("q_block"))
-    q = q.withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(ROW_BLOCKS - 1))))
-    r = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(ROW_BLOCKS)).cast("int").alias("r_block"))
+    q = q.withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))))
+    r = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(r_blocks)).cast("int").alias("r_block"))
     r = r.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
     def unit(pdf):
