@@ -9,8 +9,7 @@ words equals their mean difficulty.  Documents that an editor labelled are
 anchors: their level is fixed while words are fitted.
 
 Words are kept in Spark tables at every step.  Only curves over a fixed grid of
-levels and the labelled documents' levels come to the driver; the latter are the
-rows of the label table.
+levels and a histogram of the labelled documents' levels come to the driver.
 
 Code (fenced, inline, indented) and numbers are no words.  The levels 1, 2, 3
 come from cuts between the labelled documents' own estimated levels.
@@ -158,13 +157,15 @@ def fit_levels(texts: DataFrame, anchors: DataFrame, rounds: int = ROUNDS) -> Da
     return own.select("doc_id", F.col("own").alias("level"), "anchor")
 
 
-def best_cut(low: np.ndarray, high: np.ndarray) -> float:
-    """Value that best separates two samples; the middle of the widest best gap."""
-    if not len(low) or not len(high):
-        return float((low.max() if len(low) else -1) + (high.min() if len(high) else 1)) / 2
-    values = np.unique(np.concatenate((low, high)))
+def best_cut(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> float:
+    """Value that best separates two weighted samples on rising ``values``; the middle of the widest best gap."""
+    if not low.sum() or not high.sum():
+        below, above = values[low > 0], values[high > 0]
+        return float((below.max() if len(below) else -1) + (above.min() if len(above) else 1)) / 2
     cuts = np.concatenate(([values[0] - 1], (values[1:] + values[:-1]) / 2, [values[-1] + 1]))
-    errors = np.array([(low > c).mean() + (high <= c).mean() for c in cuts])
+    over = 1 - np.concatenate(([0], np.cumsum(low))) / low.sum()
+    under = np.concatenate(([0], np.cumsum(high))) / high.sum()
+    errors = over + under
     best = cuts[errors <= errors.min() + 1e-12]
     return float(np.median(best))
 
@@ -181,8 +182,10 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS
         fitted, low, high = fit_levels(texts, anchors, rounds), -0.5, 0.5
     else:
         fitted = fit_levels(texts, anchors, rounds)
-        judged = fitted.where("anchor IS NOT NULL").select("level", "anchor").toPandas()
-        by = {k: judged.level[judged.anchor == k].to_numpy() for k in (-1.0, 0.0, 1.0)}
-        low, high = best_cut(by[-1.0], by[0.0]), best_cut(by[0.0], by[1.0])
+        # a histogram of at most 401 levels for each label
+        judged = fitted.where("anchor IS NOT NULL").groupBy(F.round("level", 2).alias("level"), "anchor").agg(F.count("*").alias("n")).toPandas()
+        values = np.unique(judged.level.to_numpy(float))
+        by = {k: np.array([judged.n[(judged.level == v) & (judged.anchor == k)].sum() for v in values], float) for k in (-1.0, 0.0, 1.0)}
+        low, high = best_cut(values, by[-1.0], by[0.0]), best_cut(values, by[0.0], by[1.0])
     level = F.when(F.col("level") <= low, 1).when(F.col("level") <= high, 2).otherwise(3)
     return fitted.select("doc_id", level.cast("long").alias("reading_level"))

@@ -51,5 +51,7 @@ def test_words():
 
 
 def test_cut():
-    assert reading.best_cut(np.array([0.0, 1.0]), np.array([2.0, 3.0])) == 1.5
-    assert reading.best_cut(np.array([]), np.array([2.0])) < 2.0
+    v = np.array([0.0, 1.0, 2.0, 3.0])
+    assert reading.best_cut(v, np.array([1.0, 1, 0, 0]), np.array([0.0, 0, 1, 1])) == 1.5
+    assert reading.best_cut(v, np.array([5.0, 1, 0, 1]), np.array([0.0, 1, 4, 4])) == 1.5
+    assert reading.best_cut(v, np.zeros(4), np.array([0.0, 0, 1, 0])) < 2.0
