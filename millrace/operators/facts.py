@@ -52,8 +52,8 @@ def source_profile(entries: DataFrame) -> DataFrame:
 
 
 def include_lists(entries: DataFrame) -> DataFrame:
-    """project, includes: sorted set of everything a project includes."""
-    return entries.select("project", F.explode(C.all_names(F.col("code"), C.INCLUDE_ANCHORED, 2)).alias("include")).groupBy("project").agg(F.array_sort(F.collect_set("include")).alias("includes"))
+    """file_path, includes: sorted set of everything a file's entries include."""
+    return entries.where("file_path IS NOT NULL").select("file_path", F.explode(C.all_names(F.col("code"), C.INCLUDE_ANCHORED, 2)).alias("include")).groupBy("file_path").agg(F.array_sort(F.collect_set("include")).alias("includes"))
 
 
 def top_called(entries: DataFrame, k: int = 20) -> DataFrame:
@@ -85,9 +85,9 @@ def first_members(entries: DataFrame, n: int = 3) -> DataFrame:
 
 
 def ordered_summary(entries: DataFrame) -> DataFrame:
-    """project, names: function names in order of id, joined by commas."""
-    named = entries.where("function_name <> ''").select("project", F.struct("id", "function_name").alias("x"))
-    return named.groupBy("project").agg(F.array_sort(F.collect_list("x")).alias("l")).select("project", F.array_join(F.transform("l", lambda x: x["function_name"]), ", ").alias("names"))
+    """file_path, names: a file's function names in order of id, joined by commas."""
+    named = entries.where("function_name <> '' AND file_path IS NOT NULL").select("file_path", F.struct("id", "function_name").alias("x"))
+    return named.groupBy("file_path").agg(F.array_sort(F.collect_list("x")).alias("l")).select("file_path", F.array_join(F.transform("l", lambda x: x["function_name"]), ", ").alias("names"))
 
 
 def solution_title(text):
@@ -160,12 +160,12 @@ ORACLE_SQL = {
     "fn_profile": f"""WITH n AS (SELECT project, lower(function_name) AS key, id, row_number() OVER (PARTITION BY project, lower(function_name) ORDER BY id) AS rn FROM code_entries WHERE function_name <> '' AND project IS NOT NULL),
         r AS (SELECT project, key, list(id ORDER BY id) AS related FROM n WHERE rn <= 5 GROUP BY ALL)
         SELECT e.id, {_all(C.C_FUNCTION)} AS functions, {_all(C.INCLUDE_LOOSE)} AS includes, {_COMPLEX} AS complexity, r.related FROM code_entries e LEFT JOIN r ON r.project = e.project AND r.key = lower(e.function_name) WHERE code IS NOT NULL""",
-    "set_includes": f"SELECT project, list(DISTINCT include ORDER BY include) AS includes FROM (SELECT project, unnest({_all(C.INCLUDE_ANCHORED, 2)}) AS include FROM code_entries) GROUP BY project",
+    "set_includes": f"SELECT file_path, list(DISTINCT include ORDER BY include) AS includes FROM (SELECT file_path, unnest({_all(C.INCLUDE_ANCHORED, 2)}) AS include FROM code_entries WHERE file_path IS NOT NULL) GROUP BY file_path",
     "top_called": f"SELECT callee, count(*) AS n_callers FROM ({_EDGES}) GROUP BY callee ORDER BY n_callers DESC, callee LIMIT 20",
     "top_complex": f"SELECT id, {_COMPLEX} AS complexity FROM code_entries ORDER BY complexity DESC, id LIMIT 20",
     "agg_dependencies": "SELECT dependency, '*' AS version, count(*) AS n_records FROM (SELECT unnest(cargo_dependencies) AS dependency FROM translation_results) GROUP BY dependency",
     "agg_report": """SELECT project, coalesce(project, '-') || ': ' || sum(n)::BIGINT || ' entries; ' || string_agg(language || '=' || n, ', ' ORDER BY language) AS report
         FROM (SELECT project, lower(trim(language)) AS language, count(*) AS n FROM code_entries GROUP BY ALL) GROUP BY project""",
     "top_first_members": f"SELECT id, {_all(C.MACRO_NAME)}[1:3] AS shown, greatest(len({_all(C.MACRO_NAME)}) - 3, 0)::INT AS more FROM code_entries WHERE code IS NOT NULL",
-    "agg_ordered_names": "SELECT project, string_agg(function_name, ', ' ORDER BY id) AS names FROM code_entries WHERE function_name <> '' GROUP BY project",
+    "agg_ordered_names": "SELECT file_path, string_agg(function_name, ', ' ORDER BY id) AS names FROM code_entries WHERE function_name <> '' AND file_path IS NOT NULL GROUP BY file_path",
 }

@@ -79,26 +79,30 @@ def categories(files: DataFrame, key: str, path: str) -> DataFrame:
 
 
 def pair_headers(files: DataFrame) -> DataFrame:
-    """source_path, header_path, rule: the first rule and, within it, the first header that fits.
+    """group_key, source_path, header_path, rule: the first rule and, within it, the first header that fits.
 
-    ``files`` has group_key and path.  A header fits if its path holds the expected
-    path or its name equals the expected name.  Either way its name begins with the
-    expected stem, so candidates meet on group and stem prefix before the test.
+    ``files`` has group_key and path.  A header fits if its path ends, at a folder's
+    bound, in the expected path (its extension may be longer than ``.h``), or if its
+    name is the expected name.  Both sides meet on keys that have one header each
+    (the least path), so equal names do not multiply.
     """
-    kind = file_class(F.col("path"))
-    sources = files.where(kind == "source").select("group_key", F.col("path").alias("source_path")).distinct()
-    headers = files.where(kind == "header").select("group_key", F.col("path").alias("header_path"), F.lower(file_stem(F.col("path"))).alias("stem")).distinct()
+    kind, norm = file_class(F.col("path")), F.replace(F.col("path"), F.lit("\\"), F.lit("/"))
+    sources = files.where(kind == "source").select("group_key", F.col("path").alias("source_path"), norm.alias("norm")).distinct()
+    headers = files.where(kind == "header").select("group_key", F.col("path").alias("header_path"), norm.alias("norm")).distinct()
+    parts = F.split("norm", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    cut = F.transform(ends, lambda x: F.regexp_replace(x, r"\.h(?:pp|h|xx)$", ".h"))
+    by_end = headers.select("group_key", "header_path", F.explode(F.array_union(ends, cut)).alias("expected")).groupBy("group_key", "expected").agg(F.min("header_path").alias("by_end"))
+    by_name = headers.groupBy("group_key", file_name(F.col("norm")).alias("name")).agg(F.min("header_path").alias("by_name"))
     tried = []
     for i, (source, header) in enumerate(PAIRING_RULES):
-        stem = F.regexp_extract("source_path", source, 1)
         before, _, after = header.partition(r"\1")
-        expected = F.when(F.col("source_path").rlike(source), F.concat(F.lit(before), stem, F.lit(after)))
+        expected = F.when(F.col("norm").rlike(source), F.concat(F.lit(before), F.regexp_extract("norm", source, 1), F.lit(after)))
         tried.append(F.struct(F.lit(i).alias("rule"), expected.alias("expected")))
     wanted = sources.select("group_key", "source_path", F.explode(F.array(*tried)).alias("t")).select("group_key", "source_path", "t.rule", "t.expected").where("expected IS NOT NULL")
-    wanted = wanted.withColumn("stem", F.lower(file_stem(F.col("expected"))))
-    met = wanted.join(headers, ["group_key", "stem"]).where(F.contains("header_path", "expected") | (file_name(F.col("header_path")) == file_name(F.col("expected"))))
-    first = F.min(F.struct("rule", "header_path")).alias("f")
-    return met.groupBy("group_key", "source_path").agg(first).select("group_key", "source_path", "f.header_path", "f.rule")
+    met = wanted.join(by_end, ["group_key", "expected"], "left").withColumn("name", file_name(F.col("expected"))).join(by_name, ["group_key", "name"], "left")
+    best = met.withColumn("header_path", F.least("by_end", "by_name")).where("header_path IS NOT NULL")
+    return best.groupBy("group_key", "source_path").agg(F.min(F.struct("rule", "header_path")).alias("f")).select("group_key", "source_path", "f.header_path", "f.rule")
 
 
 def pairing_categories(files: DataFrame) -> DataFrame:
@@ -185,11 +189,12 @@ def _pairs_sql():
     rules = []
     for i, (source, header) in enumerate(PAIRING_RULES):
         before, _, after = header.partition(r"\1")
-        rules.append(f"SELECT {i} AS rule, group_key, path AS source_path, '{before}' || regexp_extract(path, '{source}', 1) || '{after}' AS expected FROM f WHERE kind = 'source' AND regexp_matches(path, '{source}')")
-    return f"""WITH f AS (SELECT DISTINCT coalesce(project, '') AS group_key, source_path AS path, {_class_sql('source_path')} AS kind FROM file_mappings),
+        rules.append(f"SELECT {i} AS rule, group_key, path AS source_path, '{before}' || regexp_extract(norm, '{source}', 1) || '{after}' AS expected FROM f WHERE kind = 'source' AND regexp_matches(norm, '{source}')")
+    return rf"""WITH f AS (SELECT DISTINCT coalesce(project, '') AS group_key, source_path AS path, replace(source_path, '\', '/') AS norm, {_class_sql('source_path')} AS kind FROM file_mappings),
         w AS ({' UNION ALL '.join(rules)}),
         m AS (SELECT w.group_key, w.source_path, h.path AS header_path, w.rule, row_number() OVER (PARTITION BY w.group_key, w.source_path ORDER BY w.rule, h.path) AS rn
-            FROM w JOIN f h ON h.kind = 'header' AND h.group_key = w.group_key AND (contains(h.path, w.expected) OR {_n('h.path')} = {_n('w.expected')}))"""
+            FROM w JOIN f h ON h.kind = 'header' AND h.group_key = w.group_key AND (ends_with('/' || h.norm, '/' || w.expected)
+                OR ends_with('/' || regexp_replace(h.norm, '\.h(pp|h|xx)$', '.h'), '/' || w.expected) OR {_n('h.norm')} = {_n('w.expected')}))"""
 
 
 QUERIES = {

@@ -87,10 +87,10 @@ def test_key_errors(spark):
 
 
 def test_pairs(spark):
-    rows = [("p", "src/a.c"), ("p", "include/a.h"), ("p", "src/a.h"), ("p", "src/b.cpp"), ("p", "lib/b.hpp"), ("p", "note.txt"), ("q", "src/c.c"), ("p", "inc/c.h")]
+    rows = [("p", "src/a.c"), ("p", "include/a.h"), ("p", "src/a.h"), ("p", "src/b.cpp"), ("p", "lib/b.hpp"), ("w", "x\\d.c"), ("w", "y\\x\\d.hh"), ("w", "z/ad.h"), ("p", "note.txt"), ("q", "src/c.c"), ("p", "inc/c.h")]
     df = spark.createDataFrame(rows, "group_key string, path string")
     got = {(r.group_key, r.source_path): r.header_path for r in paths.pair_headers(df).collect()}
-    assert got == {("p", "src/a.c"): "include/a.h", ("p", "src/b.cpp"): "lib/b.hpp"}
+    assert got == {("p", "src/a.c"): "include/a.h", ("p", "src/b.cpp"): "lib/b.hpp", ("w", "x\\d.c"): "y\\x\\d.hh"}
     cats = {(r.group_key, r.path): r.category for r in paths.pairing_categories(df).collect()}
     assert cats[("q", "src/c.c")] == "individual" and cats[("p", "note.txt")] == "unrelated" and cats[("p", "src/a.h")] == "individual"
 
