@@ -16,8 +16,8 @@ teasers, buttons) belong to the site.  Pages on which nothing but a title and a
 refusal is left have no own text.
 
 Defined results: null and empty contents give no lines; a null or broken url
-makes the page a site of its own; a null title is looked for between navigation
-and first sentence.  Repeated page ids give repeated rows only once.
+makes the page a site of its own; a null title is the line that the breadcrumb ends
+in, or without one the last of three words or more before the first sentence.  Repeated page ids give repeated rows only once.
 """
 
 from __future__ import annotations
@@ -43,6 +43,7 @@ REFUSAL_LINES, REFUSAL_SHARE = 4, 0.002
 _DIGITS = re.compile(r"\d+")
 _CAMEL = re.compile(r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b")
 _SEPARATED = re.compile(r"\s*(?:[›»>|·/•]|\s{2,})\s*")
+_CRUMB = re.compile(r"\s+[›»>/]\s+")
 _CODE = re.compile(r"^\s+\S|[;{}]\s*$|^\s*[#@}]|\w\(.*\)\s*(?:->.*)?[{:]?\s*$|^(?:def|class|fn|pub|use|static|const|let|var|import|from|return|struct|enum|impl|async|export|typedef|unsigned|int|void)\b.*[;{(:,=)]\s*$")
 _CLOSED = re.compile(r"[.?!。？！…:][\"'”’)`]*\s*$")
 _BULLET = re.compile(r"^\s*(?:[-*•→▸]|\d+[.)])\s+")
@@ -72,6 +73,15 @@ def title_of(title: str | None) -> str | None:
     return title.rsplit(" - ", 1)[0].strip() or None
 
 
+def crumb_of(lines: list[str]) -> str | None:
+    """Last part of the first breadcrumb: where the page stands, maybe cut short."""
+    for ln in lines:
+        parts = [p for p in _CRUMB.split(ln.strip()) if p]
+        if len(parts) > 2 and len(parts[-1].split()) > 2 and all(len(p.split()) < 4 for p in parts[:-1]) and not _CLOSED.search(ln):
+            return parts[-1]
+    return None
+
+
 def page_elements(title: str | None, text: str) -> list[tuple[int, str, str]]:
     """(line_no, kind, shape) of each non-blank line.
 
@@ -80,6 +90,7 @@ def page_elements(title: str | None, text: str) -> list[tuple[int, str, str]]:
     """
     own = title_of(title)
     lines = text.split("\n")
+    crumb = None if own else crumb_of(lines)
     out: list[tuple[int, str, str]] = []
     block: list[int] = []
     depth = 0
@@ -97,7 +108,7 @@ def page_elements(title: str | None, text: str) -> list[tuple[int, str, str]]:
             if depth <= 0:
                 close()
             continue
-        if own and s == own:
+        if own and s == own or crumb and s.startswith(crumb):
             close()
             out.append((i + 1, "T", shape(s)))
             continue
@@ -148,7 +159,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for pid, site, title, text in zip(*(b.column(i).to_pylist() for i in range(4))):
-                titled = title_of(title) is not None
+                titled = title_of(title) is not None or crumb_of(text.split("\n")) is not None
                 for no, kind, s in page_elements(title, text):
                     rows.append((pid, site, no, kind, len(s.split()), titled, _hash(s), [] if kind == "C" else open_shapes(s)))
             for k in range(0, len(rows), 20000):
