@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.runtime import sliced
+
 #: Patterns. Group 1 (or the one named beside it) is the name.
 C_FUNCTION = r"(?m)^[a-zA-Z_][a-zA-Z0-9_*\s]*\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\([^)]*\)\s*\{"
 INCLUDE_LOOSE = r'#include\s+[<"](.*?)[>"]'
@@ -223,7 +225,7 @@ def function_facts(entries: DataFrame) -> DataFrame:
     from millrace.functions.slices import canonical_language
 
     kept = entries.select("id", canonical_language(F.col("language")).alias("language"), "code").where(F.col("language").isin("c", "cpp", "rust") & F.col("code").isNotNull())
-    return kept.mapInArrow(run, "id string, language string, name string, line int, return_type string, parameters array<struct<type: string, name: string>>")
+    return kept.mapInArrow(sliced(run), "id string, language string, name string, line int, return_type string, parameters array<struct<type: string, name: string>>")
 
 
 def struct_facts(entries: DataFrame) -> DataFrame:
@@ -239,7 +241,7 @@ def struct_facts(entries: DataFrame) -> DataFrame:
     from millrace.functions.slices import canonical_language
 
     kept = entries.where(canonical_language(F.col("language")).isin("c", "cpp") & F.col("code").isNotNull()).select("id", "code")
-    return kept.mapInArrow(run, "id string, name string, line int, members array<struct<type: string, name: string>>")
+    return kept.mapInArrow(sliced(run), "id string, name string, line int, members array<struct<type: string, name: string>>")
 
 
 def symbol_facts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -252,4 +254,4 @@ def symbol_facts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()])], ["record_id", "kind", "name", "start_line", "end_line"])
 
     kept = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("record_id"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(run, "record_id string, kind string, name string, start_line int, end_line int")
+    return kept.mapInArrow(sliced(run), "record_id string, kind string, name string, start_line int, end_line int")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import code as C
-from millrace.runtime import materialise, table
+from millrace.runtime import materialise, sliced, table
 
 #: Characters a token is taken to have, tokens kept for answers, and the sizes from which texts are chunked.
 CHARS_PER_TOKEN, RESERVED, REQUEST_LIMIT, AGENT_LIMIT = 2.5, 1000, 100_000, 80_000
@@ -106,7 +106,7 @@ def chunk_messages(df: DataFrame, id_col: str, text_col: str, most: int, system_
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 5000]), [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()])], ["record_id", "chunk_no", "n_chunks", "chunk", "prompt"])
 
     kept = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("record_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "record_id string, chunk_no int, n_chunks int, chunk string, prompt string")
+    return kept.mapInArrow(sliced(run), "record_id string, chunk_no int, n_chunks int, chunk string, prompt string")
 
 
 def routing(text: Column) -> Column:
@@ -187,7 +187,7 @@ def run_chunks(chunks: DataFrame, work: Callable[[str], tuple[str, float]]) -> D
                 status.append(st)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(score), pa.array(status, pa.string())], ["record_id", "chunk_no", "output", "score", "status"])
 
-    return chunks.select("record_id", "chunk_no", "content").mapInArrow(run, "record_id string, chunk_no int, output string, score double, status string")
+    return chunks.select("record_id", "chunk_no", "content").mapInArrow(sliced(run), "record_id string, chunk_no int, output string, score double, status string")
 
 
 def resume_chunks(chunks: DataFrame, results: DataFrame, work) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.runtime import table
+from millrace.runtime import sliced, table
 
 _TOKEN = re.compile(
     r'[ \t\r\n]*(?:(?P<s>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<p>[{}\[\]:,])'
@@ -187,7 +187,7 @@ def relation_triples(df: DataFrame, id_col: str = "relation_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
 
     kept = df.select(F.col(id_col).cast("long").alias("relation_id"), F.col(text_col).cast("string").alias("relation")).where("relation IS NOT NULL")
-    return kept.mapInArrow(run, "relation_id long, grp string, node string, field string, ordinal int, value string")
+    return kept.mapInArrow(sliced(run), "relation_id long, grp string, node string, field string, ordinal int, value string")
 
 
 def _first(field: str):

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.runtime import table
+from millrace.runtime import sliced, table
 
 #: Parts of a URL and the source type they stand for, in order.
 SOURCE_TYPES = [("stackoverflow.com", "StackOverflow"), ("doc.rust-lang.org", "RustDoc"), ("github.com", "GitHub"), ("reddit.com", "Forum"), ("discourse", "Forum"), ("blog", "Blog"), ("medium.com", "Blog")]
@@ -164,7 +164,7 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", html_col: str = "html"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string()), pa.array(blocks, block)], ["page_id", "title", "main_content", "code_blocks"])
 
     kept = df.where(F.col(html_col).isNotNull()).select(F.col(id_col).cast("long").alias("page_id"), html_col)
-    return kept.mapInArrow(run, "page_id long, title string, main_content string, code_blocks array<struct<class: string, code: string>>")
+    return kept.mapInArrow(sliced(run), "page_id long, title string, main_content string, code_blocks array<struct<class: string, code: string>>")
 
 
 def search_results(responses: DataFrame, text_col: str, most: int = 10) -> DataFrame:

@@ -62,3 +62,26 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+#: What a Python operator works on at once: rows and bytes of Arrow data.
+SLICE_ROWS, SLICE_BYTES = 2000, 4 << 20
+
+
+def sliced(run):
+    """``run`` over small slices of its Arrow batches.
+
+    A batch holds a fixed number of rows whatever their length; slices keep the
+    Python objects and temporary arrays of an operator small for long texts too.
+    """
+
+    def slices(batches):
+        for b in batches:
+            step = max(1, min(SLICE_ROWS, int(b.num_rows * SLICE_BYTES / max(1, b.nbytes))))
+            for k in range(0, b.num_rows, step):
+                yield b.slice(k, step)
+
+    def over(batches):
+        return run(slices(batches))
+
+    return over

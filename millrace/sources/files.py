@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.graph import build_flags
 from millrace.operators.paths import EXCLUDE, excluded, file_class, file_extension
+from millrace.runtime import sliced
 
 #: Extensions of C and C++ files; those of scanned projects; folders of build output.
 C_EXTENSIONS = ["c", "h", "cc", "hh", "cpp", "hpp", "cxx"]
@@ -71,7 +72,7 @@ def command_flags(commands: DataFrame, root: str) -> DataFrame:
             got = [build_flags(c, d or root) for d, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], lists) for k in ("include_dirs", "link_dirs", "link_libs"))], ["file", "include_dirs", "link_dirs", "link_libs"])
 
-    return commands.select("file", "directory", "command").mapInArrow(run, "file string, include_dirs array<string>, link_dirs array<string>, link_libs array<string>")
+    return commands.select("file", "directory", "command").mapInArrow(sliced(run), "file string, include_dirs array<string>, link_dirs array<string>, link_libs array<string>")
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -118,7 +119,7 @@ def manifests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             got = [manifest_facts(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g["dependencies"] for g in got], lists), pa.array([g["members"] for g in got], lists), pa.array([g["has_bin"] for g in got])], ["record_id", "dependencies", "members", "has_bin"])
 
-    return df.select(F.col(id_col).cast("string").alias("record_id"), text_col).mapInArrow(run, "record_id string, dependencies array<string>, members array<string>, has_bin boolean")
+    return df.select(F.col(id_col).cast("string").alias("record_id"), text_col).mapInArrow(sliced(run), "record_id string, dependencies array<string>, members array<string>, has_bin boolean")
 
 
 def load_config(places: list[str], root: str | None = None) -> dict:
