@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.runtime import materialise
+from millrace.runtime import materialise, sliced
 
 #: An element is a site's template if it stands on so many of its pages and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 3, 0.03
@@ -168,7 +168,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     site = F.when(F.coalesce(host, F.lit("")) == "", F.concat(F.lit("page "), F.col("page_id").cast("string"))).otherwise(host)
     kept = pages.where("main_content IS NOT NULL AND main_content <> ''").dropDuplicates(["page_id"]).select(F.col("page_id").cast("long").alias("page_id"), site.alias("site"), "title", "main_content")
-    return kept.mapInArrow(run, "page_id long, site string, line_no int, kind string, words int, titled boolean, element long, shapes array<long>")
+    return kept.mapInArrow(sliced(run), "page_id long, site string, line_no int, kind string, words int, titled boolean, element long, shapes array<long>")
 
 
 def boilerplate_lines(pages: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def boilerplate_lines(pages: DataFrame) -> DataFrame:
                         no.append(x[0])
             yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(no, pa.int64())], ["page_id", "line_no"])
 
-    return grouped.select("page_id", "titled", "lines").mapInArrow(decide, "page_id long, line_no long")
+    return grouped.select("page_id", "titled", "lines").mapInArrow(sliced(decide), "page_id long, line_no long")
 
 
 def main_content(pages: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.slices import canonical_language, canonical_project, canonical_source, is_code, metadata_field
 from millrace.llm.vocab import TOKENIZER_DIR, count_tokens
+from millrace.runtime import sliced
 
 FEATURES = ["bytes", "words", "digits", "punct", "spaces", "breaks", "upper", "latin", "cjk", "other"]
 FIT_ROWS = 600
@@ -88,7 +89,7 @@ def _with_features(df: DataFrame, keys: list[str], tokenize: tuple[str, str] | N
                 arrays.append(pa.array(count_tokens(col.to_pylist(), *tokenize), pa.int64()))
             yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *FEATURES, *(["tokens"] if tokenize else [])])
 
-    return df.select(*keys, "text").mapInArrow(run, ddl)
+    return df.select(*keys, "text").mapInArrow(sliced(run), ddl)
 
 
 def _nonnegative(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -156,7 +157,7 @@ def estimate_tokens(df: DataFrame, keys: list[str], models: dict[str, dict]) ->
                     est[pick] = x[pick] @ w
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(cols))), pa.array(x[:, 0].astype("int64")), pa.array(est)], names=[*cols, "bytes", "est_tokens"])
 
-    return df.select(*cols, "text").mapInArrow(run, ddl)
+    return df.select(*cols, "text").mapInArrow(sliced(run), ddl)
 
 
 def code_slices(entries: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.vocab import TOKENIZER_DIR, encoding, ranks, splitter
-from millrace.runtime import materialise
+from millrace.runtime import materialise, sliced
 
 #: A worker passes its counts on when it holds this many distinct words.
 FLUSH_WORDS = 200_000
@@ -46,7 +46,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         if seen:
             yield out()
 
-    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(sliced(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def encode_words(words: DataFrame, tokenizer: str, folder: str) -> DataFrame:
@@ -58,7 +58,7 @@ def encode_words(words: DataFrame, tokenizer: str, folder: str) -> DataFrame:
             ids = [piece(w.encode("utf-8")) for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
-    return words.mapInArrow(run, "word string, n long, ids array<int>")
+    return words.mapInArrow(sliced(run), "word string, n long, ids array<int>")
 
 
 def encode_corpus(
@@ -107,7 +107,7 @@ def encode_corpus(
 
     # the hash of the text keeps rows apart that share an id by mistake
     pieces = base.select("doc", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").mapInArrow(
-        cut, f"doc {doc_type}, text_key long, word string, positions array<int>, lengths array<int>, ids array<int>"
+        sliced(cut), f"doc {doc_type}, text_key long, word string, positions array<int>, lengths array<int>, ids array<int>"
     )
     pieces = materialise(pieces, "pieces")
     cold = words.where(F.col("n") < least).select("word", F.col("ids").alias("word_ids"))
@@ -139,7 +139,7 @@ def encode_corpus(
                 out += [ids] * copies
             yield pa.RecordBatch.from_arrays([pa.array(docs, b.schema.field(0).type), pa.array(out, lists)], ["doc", "ids"])
 
-    return grouped.mapInArrow(assemble, f"doc {doc_type}, ids array<int>").withColumnRenamed("doc", id_col)
+    return grouped.mapInArrow(sliced(assemble), f"doc {doc_type}, ids array<int>").withColumnRenamed("doc", id_col)
 
 
 def token_bytes(spark, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:

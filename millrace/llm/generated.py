@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.slices import canonical_language, canonical_project, is_code
-from millrace.runtime import materialise
+from millrace.runtime import materialise, sliced
 
 FIT_ROWS = 3000
 LEAST_POSITIVE = 10
@@ -150,7 +150,7 @@ def entry_looks(entries: DataFrame) -> DataFrame:
 
     kept = entries.where(is_code(F.col("language")) & F.col("id").isNotNull())
     slim = kept.select(F.col("id").cast("string").alias("id"), canonical_project(F.col("project")).alias("project"), file_key(F.col("file_path")).alias("path"), F.col("code").cast("string").alias("code"), canonical_language(F.col("language")).alias("language"))
-    return slim.mapInArrow(run, ddl).withColumn("by_path", F.coalesce(F.col("path").rlike(PATH_PATTERN), F.lit(False)))
+    return slim.mapInArrow(sliced(run), ddl).withColumn("by_path", F.coalesce(F.col("path").rlike(PATH_PATTERN), F.lit(False)))
 
 
 def made_by_name(path: Column) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.slices import canonical_source
 from millrace.llm.vocab import TOKENIZER_DIR, count_tokens
-from millrace.runtime import materialise
+from millrace.runtime import materialise, sliced
 
 #: Each pattern's seeded order is cut into this many ranges, so that no window is over a whole source.
 RANGES = 4096
@@ -108,7 +108,7 @@ def mix_items(documents: DataFrame, targets: list[str], tokenizer: str = "byte_b
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), canonical_source(F.col("source")).alias("source"), F.md5("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("source").isin(targets) & F.col("text").isNotNull() & (F.col("text") != ""))
-    counted = rows.mapInArrow(run, "doc_id long, source string, text_key string, n_tokens long")
+    counted = rows.mapInArrow(sliced(run), "doc_id long, source string, text_key string, n_tokens long")
     # equal texts shrink before the shuffle; then a text has at most one row for each source
     homes = counted.groupBy("text_key", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"))
     return homes.groupBy("text_key").agg(F.max("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("source", "doc_id"))).alias("homes"))

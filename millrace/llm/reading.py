@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.runtime import materialise
+from millrace.runtime import materialise, sliced
 
 #: Domains of running text.
 DOMAINS = ["tutorial", "forum_answer", "design_note", "api_doc"]
@@ -73,7 +73,7 @@ def word_pairs(texts: DataFrame) -> DataFrame:
                     n.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(word, pa.string()), pa.array(n, pa.int32())], ["doc_id", "word", "n"])
 
-    return texts.mapInArrow(run, "doc_id long, word string, n int")
+    return texts.mapInArrow(sliced(run), "doc_id long, word string, n int")
 
 
 def fit_words(counts: DataFrame, exposure: np.ndarray) -> DataFrame:
@@ -101,7 +101,7 @@ def fit_words(counts: DataFrame, exposure: np.ndarray) -> DataFrame:
                 diff += np.clip((haa * gb - hab * ga) / det, -1, 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(ease), pa.array(diff)], names=["word", "n", "ease", "difficulty"])
 
-    return counts.mapInArrow(run, "word string, n double, ease double, difficulty double")
+    return counts.mapInArrow(sliced(run), "word string, n double, ease double, difficulty double")
 
 
 def _join_words(pairs: DataFrame, words: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.runtime import sliced
+
 LIMIT, OVERLAP = 6000, 200
 _TOKEN_END = re.compile(r"[;,}\])>]\s*|\s+|(?<=\w)(?=\W)")
 
@@ -116,4 +118,4 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = LIMI
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 2000]), types)], names)
 
     over = df.select(F.col(id_col).cast("string").alias("record_id"), F.col(text_col).cast("string").alias("text")).where(F.char_length("text") > limit)
-    return over.mapInArrow(run, "record_id string, piece_no int, n_pieces int, start_char long, own_start long, end_char long, piece string")
+    return over.mapInArrow(sliced(run), "record_id string, piece_no int, n_pieces int, start_char long, own_start long, end_char long, piece string")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.slices import canonical_language, canonical_project
 from millrace.llm import foreign, rustparse
+from millrace.runtime import sliced
 
 
 def verdict(text: str | None) -> tuple[str, str | None, str | None]:
@@ -46,7 +47,7 @@ def check_syntax(df: DataFrame, id_col: str, text_col: str, others: list[str] =
             out = [verdict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(i + 2) for i in range(len(others))), *(pa.array([o[k] for o in out], pa.string()) for k in range(3))], names=["record_id", *others, "verdict", "parses_as", "error"])
 
-    return df.select(F.col(id_col).cast("string").alias("record_id"), F.col(text_col).cast("string").alias("text"), *others).mapInArrow(run, ddl)
+    return df.select(F.col(id_col).cast("string").alias("record_id"), F.col(text_col).cast("string").alias("text"), *others).mapInArrow(sliced(run), ddl)
 
 
 def unparsed_records(conversions: DataFrame, translations: DataFrame) -> DataFrame:
