@@ -227,6 +227,13 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_no") -> DataFr
     return placed.withColumn("_part", F.shiftright("_at", 33)).join(starts, "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
 
 
+def progress(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with the share of all rows done up to each, in percent."""
+    numbered = number_rows(df, order)
+    total = numbered.count()
+    return numbered.withColumn("percent", F.round(F.col("row_no") * 100.0 / F.lit(max(1, total)), 4)).drop("row_no")
+
+
 def _docs(s, d):
     return table(s, d, "documents")
 
@@ -254,7 +261,7 @@ QUERIES = {
     "chunk_headers": lambda s, d: chunk_header(split_source(table(s, d, "code_entries"), "id", "code", 60)),
     "chunk_merged": _merged,
     "window_numbered": lambda s, d: number_rows(table(s, d, "code_entries").select("id"), ["id"]).select("id", "row_no", F.ceil(F.col("row_no") / 100.0).cast("long").alias("batch_no")),
-    "window_progress": lambda s, d: number_rows(table(s, d, "conversion_results").select("id").distinct(), ["id"]).crossJoin(F.broadcast(table(s, d, "conversion_results").agg(F.countDistinct("id").alias("total")))).select("id", F.round(F.col("row_no") * 100.0 / F.col("total"), 4).alias("percent")),
+    "window_progress": lambda s, d: progress(table(s, d, "conversion_results").select("id").distinct(), ["id"]),
 }
 _SPLIT = "CASE WHEN code = '' THEN [] ELSE string_split(regexp_replace(code, '\\n\\z', ''), chr(10)) END"
 ORACLE_SQL = {

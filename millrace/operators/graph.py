@@ -148,3 +148,36 @@ QUERIES = {
     "agg_include_edges": _edge_counts,
     "top_needed": _top_needed,
 }
+
+# the same graph out of DuckDB's tree of JSON values; nodes lie under a "files" list, or under a "files" object that is no tree of folders
+_NODES = f"""{nested._TREE}, n AS (SELECT DISTINCT x.relation_id, coalesce(p.text, x.key) AS path FROM t x JOIN t f ON f.relation_id = x.relation_id AND f.id = x.parent AND f.key = 'files'
+        LEFT JOIN t p ON p.relation_id = x.relation_id AND p.parent = x.id AND p.key = 'path' AND p.type = 'VARCHAR'
+        WHERE x.type = 'OBJECT' AND (f.type = 'ARRAY' OR NOT EXISTS (SELECT 1 FROM t y WHERE y.relation_id = f.relation_id AND y.parent = f.id AND y.key = 'dirs'))),
+    e AS (SELECT DISTINCT i.relation_id, coalesce(p.text, x.key) AS path, replace(i.key, '_includes', '') AS include_kind, i.text AS include FROM i JOIN t x ON x.relation_id = i.relation_id AND x.id = i.parent
+        LEFT JOIN t p ON p.relation_id = x.relation_id AND p.parent = x.id AND p.key = 'path' AND p.type = 'VARCHAR')"""
+_FOLDER = r"regexp_extract({}, '^(.*)[/\\][^/\\]*$', 1)"
+_RESOLVED = f"""{_NODES}, c AS (SELECT relation_id, path, include, unnest([0, 1, 2, 3, 4]) AS rank, unnest([CASE WHEN {_FOLDER.format('path')} = '' THEN include ELSE {_FOLDER.format('path')} || '/' || include END,
+        include, 'include/' || include, 'src/' || include, 'lib/' || include]) AS candidate FROM e WHERE include_kind = 'local'),
+    r AS (SELECT c.relation_id, c.path, c.include, arg_min(n.path, c.rank) FILTER (n.path IS NOT NULL) AS resolved FROM c LEFT JOIN n ON n.relation_id = c.relation_id AND n.path = c.candidate GROUP BY ALL)"""
+_LIFTED = f"{_RESOLVED}, g AS (SELECT DISTINCT relation_id, {_FOLDER.format('path')} AS folder, {_FOLDER.format('resolved')} AS needs FROM r WHERE resolved IS NOT NULL AND {_FOLDER.format('path')} <> {_FOLDER.format('resolved')})"
+# what lies on or behind a cycle is blocked; the rest has the length of its longest chain
+_CLOSURE = f"""{_LIFTED.replace('WITH v AS', 'WITH RECURSIVE v AS', 1)}, d AS (SELECT DISTINCT relation_id, {_FOLDER.format('path')} AS folder FROM n),
+    w AS (SELECT relation_id, folder, needs FROM g UNION SELECT w.relation_id, w.folder, g.needs FROM w JOIN g ON g.relation_id = w.relation_id AND g.folder = w.needs),
+    b AS (SELECT DISTINCT relation_id, folder FROM w WHERE folder = needs UNION SELECT w.relation_id, w.folder FROM w JOIN (SELECT relation_id, folder FROM w WHERE folder = needs) z ON z.relation_id = w.relation_id AND z.folder = w.needs),
+    h AS (SELECT relation_id, folder, 0 AS level FROM d UNION SELECT g.relation_id, g.folder, h.level + 1 FROM h JOIN g ON g.relation_id = h.relation_id AND g.needs = h.folder
+        WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.relation_id = g.relation_id AND b.folder = g.folder)),
+    o AS (SELECT d.relation_id, d.folder, CASE WHEN b.folder IS NULL THEN max(h.level) END::INT AS level, CASE WHEN b.folder IS NULL THEN 'done' ELSE 'blocked' END AS outcome
+        FROM d JOIN h USING (relation_id, folder) LEFT JOIN b USING (relation_id, folder) GROUP BY d.relation_id, d.folder, b.folder)"""
+ORACLE_SQL = {
+    "graph_edges": f"{_NODES} SELECT * FROM e",
+    "graph_resolved": f"{_RESOLVED} SELECT * FROM r",
+    "graph_folder_edges": f"{_LIFTED} SELECT * FROM g",
+    "graph_in_degrees": f"{_LIFTED} SELECT relation_id, folder, count(*) AS n_needs FROM g GROUP BY ALL",
+    "graph_levels": f"{_CLOSURE} SELECT * FROM o",
+    "graph_outcome": f"{_CLOSURE} SELECT outcome, count(*) AS n_folders FROM o GROUP BY 1",
+    "graph_reachable": f"""{_CLOSURE}, q AS (SELECT relation_id, folder AS root, folder AS node, 0 AS hops FROM d UNION SELECT q.relation_id, q.root, g.needs, q.hops + 1 FROM q JOIN g ON g.relation_id = q.relation_id AND g.folder = q.node WHERE q.hops < 10)
+        SELECT relation_id, root, node, min(hops)::INT AS hops FROM q GROUP BY ALL""",
+    "agg_include_edges": f"{_NODES} SELECT relation_id, count(*) AS n_edges, count(*) FILTER (include_kind = 'local') AS n_local FROM e GROUP BY 1",
+    "top_needed": f"""{_RESOLVED} SELECT relation_id, resolved, n_users, position FROM (SELECT relation_id, resolved, count(*) AS n_users, row_number() OVER (PARTITION BY relation_id ORDER BY count(*) DESC, resolved)::INT AS position
+        FROM r WHERE resolved IS NOT NULL GROUP BY 1, 2) WHERE position <= 5""",
+}

@@ -257,6 +257,8 @@ _TREE = """WITH v AS (SELECT DISTINCT relation_id, relation FROM relation_files
         UNION ALL SELECT l.relation_id, l.parent, l.key, p.text FROM l JOIN t c ON c.relation_id = l.relation_id AND c.parent = l.id JOIN t p ON p.relation_id = c.relation_id AND p.parent = c.id
             WHERE c.type = 'OBJECT' AND p.key = 'path' AND p.type = 'VARCHAR')"""
 ORACLE_SQL = {
+    "p4_relations": """SELECT DISTINCT relation_id, coalesce(relation->>'$.workspace', relation->>'$.payload.relation.workspace') AS workspace, coalesce(relation->>'$.generated_at', relation->>'$.payload.relation.generated_at') AS generated_at
+        FROM relation_files WHERE json_valid(relation)""",
     "p4_found": f"""{_TREE} SELECT DISTINCT i.relation_id, coalesce(p.text, n.key) AS path, replace(i.key, '_includes', '') AS include_kind, i.text AS include FROM i JOIN t n ON n.relation_id = i.relation_id AND n.id = i.parent
         LEFT JOIN t p ON p.relation_id = n.relation_id AND p.parent = n.id AND p.key = 'path' AND p.type = 'VARCHAR'""",
 }

@@ -53,5 +53,6 @@ QUERIES = {
     "plan_prompts": lambda s, d: file_prompts(table(s, d, "code_entries"), table(s, d, "conversion_results")),
 }
 ORACLE_SQL = {
+    "plan_schedule": graph.ORACLE_SQL["graph_levels"],
     "plan_analyze": f"""SELECT s.*, c.complexity, ceil(length(e.code) / 2.5::DOUBLE)::BIGINT AS n_tokens FROM ({_ORACLE}) s JOIN ({facts.ORACLE_SQL["fn_complexity"]}) c USING (id) JOIN code_entries e USING (id)""".replace("s.*", "s.id, n_functions, n_types, n_macros, n_includes"),
 }
