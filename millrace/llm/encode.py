@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,8 +150,29 @@ def token_bytes(spark, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_
 
 
 def decode_corpus(ids: DataFrame, id_col: str = "doc_id", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
-    """``id_col`` and ``text``: join each id with the token-byte table, concatenate by position."""
-    vocabulary = F.broadcast(token_bytes(ids.sparkSession, tokenizer, folder))
-    flat = ids.select(F.col(id_col).alias("doc"), F.posexplode_outer("ids").alias("pos", "token")).join(vocabulary, "token", "left")
-    text = flat.groupBy("doc").agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", F.hex("bytes").alias("x"))))).alias("all"))
-    return text.select(F.col("doc").alias(id_col), F.decode(F.unhex(F.array_join(F.transform("all", lambda p: p["x"]), "")), "UTF-8").alias("text"))
+    """``id_col`` and ``text``: join each id with the token-byte table, concatenate by position.
+
+    The table has one row for each id of the vocabulary, so every worker holds it and
+    the join is a take by index: the bytes of a slice of rows come out in the order of
+    their ids, and the rows' bounds cut them.  Nothing is shuffled.  Unknown ids have
+    no bytes; bytes that are no UTF-8 become replacement characters.
+    """
+
+    def run(batches):
+        by_id = {i: b for b, i in ranks(tokenizer, folder).items()}
+        known = pa.array([by_id.get(i, b"") for i in range(max(by_id) + 2)], pa.large_binary())
+        for b in batches:
+            lists = b.column(1).fill_null([]) if b.column(1).null_count else b.column(1)
+            at = lists.offsets.to_numpy()
+            picked = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
+            picked = np.where((picked < 0) | (picked >= len(known) - 1), len(known) - 1, picked)
+            joined = known.take(pa.array(picked, pa.int64()))
+            ends = np.frombuffer(joined.buffers()[1], np.int64)[: len(joined) + 1] if len(joined) else np.zeros(1, np.int64)
+            data = memoryview(joined.buffers()[2]) if len(joined) and joined.buffers()[2] else memoryview(b"")
+            bounds = ends[at - at[0]].tolist()
+            texts = [bytes(data[i:j]).decode("utf-8", "replace") for i, j in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc", "text"])
+
+    doc_type = ids.schema[id_col].dataType.simpleString()
+    plain = ids.select(F.col(id_col).alias("doc"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    return plain.mapInArrow(sliced(run), f"doc {doc_type}, text string").withColumnRenamed("doc", id_col)

@@ -94,7 +94,12 @@ QUERIES = {
     "p10_found": p10_found,
 }
 
+_LINES = r"""WITH e AS (SELECT id, lower(trim(language)) IN ('python', 'py') AS py, code FROM code_entries WHERE coalesce(lower(trim(language)), '') NOT IN ('project', 'config')),
+    n AS (SELECT id, CASE WHEN py THEN regexp_replace(code, '#[^\n]*', '', 'g') ELSE regexp_replace(regexp_replace(code, '(?s)/\*.*?\*/', '', 'g'), '//[^\n]*', '', 'g') END AS code FROM e),
+    l AS (SELECT id, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM (SELECT id, unnest(string_split_regex(code, '\r\n?|\n')) AS line FROM n)),
+    k AS (SELECT id, line, row_number() OVER (PARTITION BY id, line) AS k, count(*) OVER (PARTITION BY id) AS n FROM l WHERE line <> '')"""
 ORACLE_SQL = {
+    "p3_found": f"{_LINES} SELECT a.id AS id_a, b.id AS id_b FROM k a JOIN k b ON a.line = b.line AND a.k = b.k AND a.id < b.id GROUP BY ALL HAVING 4 * count(*) >= 3 * greatest(max(a.n), max(b.n))",
     "p5_found": """
         SELECT 'code_entries' AS record_table, id AS record_id FROM code_entries WHERE length(code) > 6000
         UNION
