@@ -272,4 +272,12 @@ ORACLE_SQL = {
         SELECT record_id, (pos // 25)::INT AS chunk_no, (pos + 1)::INT AS start_line, least(pos + 25, len(lines))::INT AS end_line, array_to_string(lines[pos + 1 : pos + 25], chr(10)) AS content FROM c""",
     "window_numbered": "SELECT id, row_number() OVER (ORDER BY id) AS row_no, ((row_number() OVER (ORDER BY id) + 99) // 100)::BIGINT AS batch_no FROM code_entries",
     "window_progress": "SELECT id, round(row_number() OVER (ORDER BY id) * 100.0 / count(*) OVER (), 4)::DOUBLE AS percent FROM (SELECT DISTINCT id FROM conversion_results)",
+    "chunk_functions": f"""WITH RECURSIVE l AS (SELECT id AS record_id, {_SPLIT} AS lines FROM code_entries WHERE code IS NOT NULL),
+        h AS (SELECT record_id, n, pos, row_number() OVER (PARTITION BY record_id ORDER BY pos) AS i, coalesce(lead(pos) OVER (PARTITION BY record_id ORDER BY pos), n) - pos AS size
+            FROM (SELECT record_id, len(lines) AS n, unnest(lines) AS line, unnest(range(0, len(lines))) AS pos FROM l) WHERE regexp_matches(line, '{C.C_FUNCTION.replace("(?m)", "")}')),
+        f AS (SELECT record_id, i, size AS used, [0::BIGINT] AS cuts FROM h WHERE i = 1
+            UNION ALL SELECT h.record_id, h.i, CASE WHEN f.used + h.size > 60 THEN h.size ELSE f.used + h.size END, CASE WHEN f.used + h.size > 60 THEN list_append(f.cuts, h.pos) ELSE f.cuts END FROM f JOIN h ON h.record_id = f.record_id AND h.i = f.i + 1),
+        c AS (SELECT record_id, arg_max(cuts, i) AS cuts FROM f GROUP BY record_id),
+        p AS (SELECT record_id, lines, unnest(range(0, len(cuts))) AS k, unnest(cuts) AS a, unnest(list_append(cuts[2:], len(lines))) AS b FROM c JOIN l USING (record_id))
+        SELECT record_id, k::INT AS chunk_no, (a + 1)::INT AS start_line, b::INT AS end_line, array_to_string(lines[a + 1 : b], chr(10)) AS content FROM p""",
 }

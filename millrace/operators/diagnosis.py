@@ -157,7 +157,7 @@ def sections(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def rust_code_of(response: Column) -> Column:
     """Rust code of an answer: member of a JSON object, of a chat envelope, of fenced JSON; a fenced block; else the text itself."""
     trimmed = F.trim(response)
-    unfenced = F.trim(F.regexp_replace(F.regexp_replace(trimmed, r"^```(?:json)?", ""), r"```$", ""))
+    unfenced = F.trim(F.regexp_replace(F.regexp_replace(trimmed, r"^```(?:json)?", ""), r"```\z", ""))
     fenced = F.nullif(F.regexp_extract(response, r"(?s)```rust\n?(.*?)\n```", 1), F.lit(""))
     generic = F.nullif(F.regexp_extract(response, r"(?s)```\w*\n(.*?)\n```", 1), F.lit(""))
     partial = F.nullif(F.regexp_extract(response, r'(?s)"rust_code"\s*:\s*"((?:[^"\\]|\\.)*)', 1), F.lit(""))
@@ -220,4 +220,12 @@ ORACLE_SQL = {
     "error_resources": "SELECT page_id, " + "CASE " + " ".join(f"WHEN contains(coalesce(url, ''), '{p}') THEN '{v}'" for p, v in RESOURCE_TYPES) + " ELSE 'Tutorial' END AS resource_type FROM web_pages",
     "agg_confidence": """SELECT compilation_status, mean, CASE WHEN mean >= 0.9 THEN 'VeryHigh' WHEN mean >= 0.7 THEN 'High' WHEN mean >= 0.5 THEN 'Medium' ELSE 'Low' END AS level
         FROM (SELECT compilation_status, coalesce(round(avg(confidence_score::DOUBLE), 6), 0.0)::DOUBLE AS mean FROM translation_results GROUP BY 1)""",
+    "error_sections": r"""WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+        n AS (SELECT doc_id, pos, line, regexp_matches(line, '^[ \t]*##? ') AS head, sum(regexp_matches(line, '^[ \t]*##? ')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM l)
+        SELECT * FROM (SELECT doc_id, section::INT AS section_no, max(CASE WHEN head THEN trim(replace(regexp_replace(line, '^[ \t]*', ''), chr(13), '')) END) AS heading, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT head), '') AS content
+        FROM n GROUP BY doc_id, section) WHERE section_no > 0 OR content <> ''""",
+    "json_answers": r"""WITH a AS (SELECT id, converted_code AS r, trim(converted_code) AS t, trim(regexp_replace(regexp_replace(trim(converted_code), '^```(?:json)?', ''), '```\z', '')) AS u FROM (SELECT DISTINCT ON (id) * FROM conversion_results))
+        SELECT id, coalesce(CASE WHEN json_valid(t) THEN t->>'$.rust_code' END, CASE WHEN json_valid(t) THEN t->>'$.choices[0].message.content' END, CASE WHEN json_valid(u) THEN u->>'$.rust_code' END,
+            nullif(regexp_extract(r, '(?s)```rust\n?(.*?)\n```', 1), ''), replace(replace(replace(replace(nullif(regexp_extract(r, '(?s)"rust_code"\s*:\s*"((?:[^"\\]|\\.)*)', 1), ''), '\n', chr(10)), '\t', chr(9)), '\"', '"'), '\\', '\'),
+            nullif(regexp_extract(r, '(?s)```\w*\n(.*?)\n```', 1), ''), r) AS rust_code, CASE WHEN json_valid(t) AND t->>'$.rust_code' IS NOT NULL THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence FROM a""",
 }

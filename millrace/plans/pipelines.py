@@ -53,6 +53,12 @@ QUERIES = {
     "plan_prompts": lambda s, d: file_prompts(table(s, d, "code_entries"), table(s, d, "conversion_results")),
 }
 ORACLE_SQL = {
+    "plan_preprocess": f"""SELECT c.group_key, c.path, c.category, p.header_path FROM ({paths.ORACLE_SQL["set_pairing"]}) c LEFT JOIN ({paths.ORACLE_SQL["join_pair_headers"]}) p ON p.group_key = c.group_key AND p.source_path = c.path""",
+    "plan_prompts": f"""WITH q AS (SELECT source_id AS id, arg_max(converted_code, (created_at, id)) AS prior FROM conversion_results WHERE status = 'success' GROUP BY source_id),
+        x AS (SELECT e.id, coalesce(file_path, 'unknown') AS f, array_to_string({facts._all(C.C_FUNCTION)}, ', ') AS fs, array_to_string({facts._all(C.INCLUDE_LOOSE)}, ', ') AS i,
+            array_to_string(list_filter({facts._all(C.CALL_NAME)}, lambda n, k: list_position({facts._all(C.CALL_NAME)}, n) = k AND NOT {facts._SYS.format("n")}), ', ') AS cs, coalesce(q.prior, '') AS p FROM code_entries e LEFT JOIN q ON q.id = e.id WHERE code IS NOT NULL)
+        SELECT id, concat_ws(chr(10) || chr(10), '## File' || chr(10) || nullif(f, ''), '## Functions' || chr(10) || nullif(fs, ''), '## Includes' || chr(10) || nullif(i, ''), '## Calls' || chr(10) || nullif(cs, ''),
+            '## Earlier' || chr(10) || nullif(p, ''), '## Guide' || chr(10) || 'Convert to safe code.') AS prompt FROM x""",
     "plan_schedule": graph.ORACLE_SQL["graph_levels"],
     "plan_analyze": f"""SELECT s.*, c.complexity, ceil(length(e.code) / 2.5::DOUBLE)::BIGINT AS n_tokens FROM ({_ORACLE}) s JOIN ({facts.ORACLE_SQL["fn_complexity"]}) c USING (id) JOIN code_entries e USING (id)""".replace("s.*", "s.id, n_functions, n_types, n_macros, n_includes"),
 }
