@@ -15,13 +15,15 @@ out as often as they come in.  A text of any length is encoded whole.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.vocab import TOKENIZER_DIR, encoding, ranks, splitter
+from millrace.llm.vocab import TOKENIZER_DIR, encoding, pretokens, ranks
 from millrace.runtime import materialise, sliced
 
 #: A worker passes its counts on when it holds this many distinct words.
@@ -37,10 +39,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-        split = splitter().findall
         for b in batches:
             for t in b.column(0).to_pylist():
-                seen.update(split(t))
+                seen.update(pretokens(t))
                 if len(seen) > FLUSH_WORDS:
                     yield out()
                     seen.clear()
@@ -62,6 +63,17 @@ def encode_words(words: DataFrame, tokenizer: str, folder: str) -> DataFrame:
     return words.mapInArrow(sliced(run), "word string, n long, ids array<int>")
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices starts[0], starts[0]+1, ... of ``sizes[0]`` elements, then those of the next."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    """A list column of int from the sizes of its lists and their values."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
 def encode_corpus(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, hot_share: float = 1e-4
 ) -> DataFrame:
@@ -76,35 +88,36 @@ def encode_corpus(
     shared = spark.sparkContext.broadcast(hot)
 
     doc_type = base.schema["doc"].dataType.simpleString()
-    lists = pa.list_(pa.int32())
     names = ["doc", "text_key", "word", "positions", "lengths", "ids"]
 
     def cut(batches):
-        known = shared.value
-        split = splitter().findall
+        """One row for each text with its frequent words encoded, one for each rare word of a text."""
+        words_known = pa.array(list(shared.value.keys()), pa.string())
+        sizes = np.array([len(x) for x in shared.value.values()], np.int64)
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        known_ids = np.fromiter(chain.from_iterable(shared.value.values()), np.int32)
         for b in batches:
-            doc, key, word, positions, lengths, ids = [], [], [], [], [], []
-            for d, k, t in zip(*(b.column(i).to_pylist() for i in range(3))):
-                rare: dict[str, list[int]] = {}
-                at: list[int] = []
-                n: list[int] = []
-                flat: list[int] = []
-                for i, w in enumerate(split(t) if t else ()):
-                    got = known.get(w)
-                    if got is None:
-                        rare.setdefault(w, []).append(i)
-                    else:
-                        at.append(i)
-                        n.append(len(got))
-                        flat += got
-                for w, p in ((None, at), *rare.items()):
-                    doc.append(d)
-                    key.append(k)
-                    word.append(w)
-                    positions.append(p)
-                    lengths.append(n if w is None else [])
-                    ids.append(flat if w is None else [])
-            yield pa.RecordBatch.from_arrays([pa.array(doc, b.schema.field(0).type), pa.array(key, pa.int64()), pa.array(word, pa.string()), pa.array(positions, lists), pa.array(lengths, lists), pa.array(ids, lists)], names)
+            pieces = [pretokens(t) for t in b.column(2).to_pylist()]
+            n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            flat = pa.array(list(chain.from_iterable(pieces)), pa.string())
+            doc = np.repeat(np.arange(len(n)), n)
+            pos = (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            at = pc.index_in(flat, value_set=words_known).fill_null(-1).to_numpy()
+            hot = at >= 0
+            long = sizes[at[hot]]
+            each = np.bincount(doc[hot], minlength=len(n))
+            total_ids = np.bincount(doc[hot], long, len(n)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.nulls(len(n), pa.string()), _lists(each, pos[hot]), _lists(each, long), _lists(total_ids, known_ids[_ragged(starts[at[hot]], long)])], names
+            )
+            coded = flat.filter(pa.array(~hot)).dictionary_encode()
+            code, doc, pos = coded.indices.to_numpy(), doc[~hot], pos[~hot]
+            order = np.lexsort((pos, code, doc))
+            code, doc, pos = code[order], doc[order], pos[order]
+            first = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))) if len(code) else np.zeros(0, np.int64)
+            rows, none = pa.array(doc[first]), np.zeros(len(first), np.int64)
+            each = np.diff(np.concatenate((first, [len(code)])))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), coded.dictionary.take(pa.array(code[first])), _lists(each, pos), _lists(none, none[:0]), _lists(none, none[:0])], names)
 
     # the hash of the text keeps rows apart that share an id by mistake
     pieces = base.select("doc", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").mapInArrow(
@@ -120,25 +133,35 @@ def encode_corpus(
     grouped = parts.groupBy("doc", "text_key").agg(F.collect_list("part").alias("parts")).select("doc", "parts")
 
     def assemble(batches):
+        """Ids of each text in the order of their positions, for all texts of a slice at once."""
         for b in batches:
-            docs, out = [], []
-            for d, ps in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                slots: dict[int, list[int]] = {}
-                copies = 0
-                for p in ps:
-                    if p["lengths"] is None:
-                        for i in p["positions"]:
-                            slots[i] = p["ids"]
-                    else:
-                        copies += 1
-                        at = 0
-                        for i, n in zip(p["positions"], p["lengths"]):
-                            slots[i] = p["ids"][at : at + n]
-                            at += n
-                ids = [x for i in range(len(slots)) for x in slots[i]]
-                docs += [d] * copies
-                out += [ids] * copies
-            yield pa.RecordBatch.from_arrays([pa.array(docs, b.schema.field(0).type), pa.array(out, lists)], ["doc", "ids"])
+            n_docs = b.num_rows
+            outer = b.column(1).offsets.to_numpy()
+            positions, lengths, ids = b.column(1).values.slice(outer[0], outer[-1] - outer[0]).flatten()
+            doc_of_part = np.repeat(np.arange(n_docs), np.diff(outer))
+            at, ids_at = positions.offsets.to_numpy().astype(np.int64), ids.offsets.to_numpy().astype(np.int64)
+            is_hot = lengths.is_valid().to_numpy(zero_copy_only=False)
+            n = np.diff(at)
+            part = np.repeat(np.arange(len(n)), n)
+            pos = positions.values.to_numpy()[at[0] : at[-1]]
+            hot = is_hot[part]
+            # a rare word has the same ids at each place; those of frequent words follow each other
+            size, start = np.diff(ids_at)[part], ids_at[:-1][part]
+            size[hot] = lengths.flatten().to_numpy()
+            done = np.cumsum(size[hot]) - size[hot]
+            begins = np.concatenate(([0], np.cumsum(n[is_hot])))[:-1]
+            base = np.append(done, 0)[begins] if len(begins) else np.zeros(0, np.int64)
+            start[hot] += done - np.repeat(base, n[is_hot])
+            doc = doc_of_part[part]
+            order = np.lexsort((pos, doc))
+            doc, pos, size, start = doc[order], pos[order], size[order], start[order]
+            copies = np.bincount(doc_of_part[is_hot], minlength=n_docs)
+            if (copies != 1).any():  # repeated rows: each position once
+                keep = np.concatenate(([True], (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1]))) if len(doc) else np.zeros(0, bool)
+                doc, size, start = doc[keep], size[keep], start[keep]
+            out = _lists(np.bincount(doc, size, n_docs).astype(np.int64), ids.values.to_numpy()[_ragged(start, size)])
+            rows = pa.array(np.repeat(np.arange(n_docs), copies))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), out.take(rows)], ["doc", "ids"])
 
     return grouped.mapInArrow(sliced(assemble), f"doc {doc_type}, ids array<int>").withColumnRenamed("doc", id_col)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 #: Folder of the vocabulary files, on every machine.
@@ -31,6 +32,18 @@ def splitter():
     return regex.compile(PATTERN)
 
 
+_SPACE = r"[\t\n\x0b\x0c\r ]"
+#: PATTERN where all characters are ASCII.
+_ASCII = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9\t\n\x0b\x0c\r ]+|{_SPACE}+(?![^\t\n\x0b\x0c\r ])|{_SPACE}+")
+
+
+def pretokens(text: str | None) -> list[str]:
+    """The pieces that PATTERN cuts a text into; none of a null one."""
+    if not text:
+        return []
+    return _ASCII.findall(text) if text.isascii() else splitter().findall(text)
+
+
 def count_tokens(texts: list[str], name: str, folder: str) -> list[int]:
     """Tokens of each text; 0 for null."""
     enc = encoding(name, folder)
