@@ -108,6 +108,7 @@ QUERIES = {
     "line_insert": lambda s, d: _code(s, d).select("id", insert_at(F.col("code"), 2, "new line").alias("text")),
     "line_delete": lambda s, d: _code(s, d).select("id", delete_range(F.col("code"), 2, 4).alias("text")),
     "line_count": lambda s, d: _code(s, d).select("id", C.line_count(F.col("code")).cast("long").alias("n_lines")),
+    "line_unnumbered": lambda s, d: _code(s, d).select("id", C.strip_line_numbers(F.concat(F.lit("12: a\n 3 | b\n"), F.col("code"))).alias("text")),
     "line_around": lambda s, d: _code(s, d).select("id", around(F.col("code"), F.lit(10)).alias("context")),
     "line_manifest": lambda s, d: table(s, d, "conversion_results").select("id", add_dependency(F.col("converted_code"), "libc", "0.2").alias("text")).distinct(),
     "window_includes": lambda s, d: include_lines(table(s, d, "code_entries")),
@@ -124,6 +125,7 @@ ORACLE_SQL = {
     "line_insert": f"SELECT id, array_to_string(l[1:1] || ['new line'] || l[2:], chr(10)) AS text FROM (SELECT id, {_L} AS l FROM code_entries)",
     "line_delete": f"SELECT id, CASE WHEN len(l) >= 4 THEN array_to_string(l[1:1] || l[5:], chr(10)) END AS text FROM (SELECT id, {_L} AS l FROM code_entries)",
     "line_count": "SELECT id, (CASE WHEN code = '' THEN 0 ELSE length(code) - length(replace(code, chr(10), '')) + CASE WHEN ends_with(code, chr(10)) THEN 0 ELSE 1 END END)::BIGINT AS n_lines FROM code_entries",
+    "line_unnumbered": "SELECT id, trim(regexp_replace('12: a' || chr(10) || ' 3 | b' || chr(10) || code, '(?m)^[ \\t]*\\d+[ \\t]*[:|][ \\t]?', '', 'g')) AS text FROM code_entries",
     "line_around": f"SELECT id, array_to_string(list_transform(range(5, least(15, len(l)) + 1), lambda i: lpad(i::VARCHAR, 4, ' ') || ': ' || l[i]), chr(10)) AS context FROM (SELECT id, {_L} AS l FROM code_entries)",
     "window_includes": f"SELECT id, line::INT AS line, regexp_extract(text, {_INCL}, 1) AS include FROM (SELECT id, unnest(l) AS text, unnest(range(1, len(l) + 1)) AS line FROM (SELECT id, {_L} AS l FROM code_entries)) WHERE regexp_extract(text, {_INCL}, 1) <> ''",
     "window_next_start": f"""SELECT id, line::INT AS start_line, coalesce(lead(line) OVER (PARTITION BY id ORDER BY line) - 1, n)::INT AS end_line FROM (SELECT id, len(l) AS n, unnest(l) AS text, unnest(range(1, len(l) + 1)) AS line

@@ -248,7 +248,11 @@ def p4_includes(spark: SparkSession, folder: str) -> DataFrame:
     return include_table(relation_triples(table(spark, folder, "relation_files")))
 
 
-QUERIES = {"p4_found": p4_found, "p4_relations": p4_relations, "p4_nodes": p4_nodes, "p4_includes": p4_includes}
+def scan_build(spark: SparkSession, folder: str) -> DataFrame:
+    return build_table(relation_triples(table(spark, folder, "relation_files")))
+
+
+QUERIES = {"scan_build": scan_build, "p4_found": p4_found, "p4_relations": p4_relations, "p4_nodes": p4_nodes, "p4_includes": p4_includes}
 
 _TREE = """WITH v AS (SELECT DISTINCT relation_id, relation FROM relation_files WHERE json_valid(relation)), t AS (SELECT v.relation_id, j.key, j.type, j.id, j.parent, j.atom->>'$' AS text FROM v, json_tree(v.relation) j),
     l AS (SELECT * FROM t WHERE key IN ('local_includes', 'system_includes')),
@@ -257,6 +261,8 @@ _TREE = """WITH v AS (SELECT DISTINCT relation_id, relation FROM relation_files
         UNION ALL SELECT l.relation_id, l.parent, l.key, p.text FROM l JOIN t c ON c.relation_id = l.relation_id AND c.parent = l.id JOIN t p ON p.relation_id = c.relation_id AND p.parent = c.id
             WHERE c.type = 'OBJECT' AND p.key = 'path' AND p.type = 'VARCHAR')"""
 ORACLE_SQL = {
+    "scan_build": f"""{_TREE} SELECT DISTINCT b.relation_id, k.key AS setting, c.key::INT AS ordinal, c.text AS value FROM t b JOIN t k ON k.relation_id = b.relation_id AND k.parent = b.id JOIN t c ON c.relation_id = k.relation_id AND c.parent = k.id
+        WHERE b.key = 'build' AND k.type = 'ARRAY' AND c.type = 'VARCHAR'""",
     "p4_relations": """SELECT DISTINCT relation_id, coalesce(relation->>'$.workspace', relation->>'$.payload.relation.workspace') AS workspace, coalesce(relation->>'$.generated_at', relation->>'$.payload.relation.generated_at') AS generated_at
         FROM relation_files WHERE json_valid(relation)""",
     "p4_found": f"""{_TREE} SELECT DISTINCT i.relation_id, coalesce(p.text, n.key) AS path, replace(i.key, '_includes', '') AS include_kind, i.text AS include FROM i JOIN t n ON n.relation_id = i.relation_id AND n.id = i.parent

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.operators import chunking, diagnosis, facts, graph, lines, metadata, nested, paths, vectors, web
+from millrace.operators import chunking, diagnosis, facts, graph, lines, metadata, mutations, nested, paths, vectors, web
 from millrace.plans import pipelines
 from millrace.streaming import events
 
-_MODULES = [nested, metadata, vectors, paths, facts, chunking, lines, web, diagnosis, graph, pipelines, events]
+_MODULES = [nested, metadata, vectors, paths, facts, chunking, lines, web, diagnosis, graph, mutations, pipelines, events]
 FLAGSHIP = pipelines.QUERIES["plan_analyze"]
 
 
