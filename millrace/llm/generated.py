@@ -52,8 +52,8 @@ GENERATED_NOTICE = re.compile(
     r"""code\ generated\ by|@generated\b|\bauto-?\s?generated\b|automatically\ (?:generated|produced|created)|(?:generated|produced|created)\ automatically
     |do\ not\ (?:edit|modify)(?:\ (?:by\ hand|manually|this\ file|directly))?\s*(?:[.,;:!]|$)|changes?\ will\ be\ (?:lost|overwritten)|edits?\ (?:is|are|will\ be)\ overwritten
     |machine[-\ ](?:written|generated)|edit\ the\ template|emitted\ by\ .*(?:compiler|generator)|this\ file\ (?:is|was)\ generated
-    |von\ .*(?:erzeugt|generiert)|nicht\ von\ hand|自动生成|generado\ (?:automáticamente|por)|généré\ (?:automatiquement|par)""",
-    re.I | re.X,
+    |diese\ datei\ .*(?:erzeugt|generiert)|nicht\ von\ hand|自动生成|generado\ (?:automáticamente|por)|généré\ (?:automatiquement|par)""",
+    re.I | re.X | re.M,
 )
 HAND_NOTICE = re.compile(r"written by hand|hand-written", re.I)
 COPY_NOTICE = re.compile(
@@ -92,7 +92,7 @@ def look(code: str, language: str) -> tuple[list[float], bool, bool]:
     body = pattern.sub(strip, code)
     said = "\n".join(notes)
     shown = [x for x in notes if not GENERATED_NOTICE.search(x) and not COPY_NOTICE.search(x)]
-    generated = bool(GENERATED_NOTICE.search(said) and not HAND_NOTICE.search(said)) or bool(_LINE_MARK.search(code))
+    generated = bool(_LINE_MARK.search(code)) or bool(GENERATED_NOTICE.search(said)) and any(GENERATED_NOTICE.search(x) and not HAND_NOTICE.search(x) for x in notes)
     copied = bool(COPY_NOTICE.search(" ".join(said.split())))
     raw = body.encode("utf-8", "replace")
     n = max(1, len(body))
