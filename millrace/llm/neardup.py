@@ -23,6 +23,15 @@ in at most ``common`` of all texts (or in 16).  There are at most (lines per tex
 text of which fewer than half the lines are informative counts all lines as
 informative, so large groups of near-copies still meet.
 
+The bucket of the pigeonhole principle may hold no informative line that both
+texts share, and then its variants are not emitted.  Each text therefore emits
+its first lines as well, in one order of all lines (rarest first) that is the
+same for every text: of texts that share at least ceil(3n/4) lines, the first
+n - ceil(3n/4) + k lines have k in common, whatever their buckets hold.  Pairs
+of up to ``SHORT`` lines are candidates with k = 1, longer ones with k =
+``LEAST_MET``.  The candidates are exact by these keys; all of them are informative
+lines unless fewer than half of a text's lines are.
+
 Defined results: rows whose code is null, or has no line left, are in no pair; a
 null language counts as code; repeated ids count once.  Line hashes and keys of
 representatives have 64 bits.
@@ -43,6 +52,8 @@ from millrace.runtime import materialise, sliced
 
 SHARE_NUM, SHARE_DEN = 3, 4
 COMMON, COMMON_LEAST = 1e-4, 16
+#: Pairs whose longer text has more than SHORT lines must meet on LEAST_MET of their rarest lines.
+SHORT, LEAST_MET = 15, 3
 
 _C_LIKE = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\[^\n]{1,8}?)\'', re.S)
 _PYTHON = re.compile(r'#[^\n]*|"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'', re.S)
@@ -153,6 +164,30 @@ def ball_variants(keys: np.ndarray, sizes: np.ndarray, lines: np.ndarray, common
     return np.concatenate(variants).view(np.int64), np.concatenate(owners)
 
 
+def prefix_keys(keys: np.ndarray, sizes: np.ndarray, lines: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(variant, text key) of the rarest lines of each text, as many as a pair over the threshold cannot all miss.
+
+    Lines that are not ``common`` come first, by their hash; the others by their ``counts``.
+    Variants for pairs of up to SHORT lines are odd, as those of buckets are; the
+    others are even, and a pair must meet on LEAST_MET of them.
+    """
+    if not len(keys):
+        return np.array([], np.int64), np.array([], np.int64)
+    doc = np.repeat(np.arange(len(keys)), sizes)
+    rank = np.zeros(len(lines), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, lines), len(common) - 1)
+        rank = np.where(common[at] == lines, counts[at], 0)
+    order = np.lexsort((lines, rank, doc))
+    need = -(-sizes * SHARE_NUM // SHARE_DEN)  # lines that any partner must share
+    place = np.arange(len(lines)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    size = np.repeat(sizes, sizes)
+    short = order[(size <= SHORT) & (place < np.repeat(sizes - need + 1, sizes))]
+    long = order[(size * SHARE_DEN // SHARE_NUM > SHORT) & (place < np.repeat(sizes - need + LEAST_MET, sizes))]
+    variants = np.concatenate((_mix(lines[short].view(np.uint64)) | np.uint64(1), _mix(lines[long].view(np.uint64)) & ~np.uint64(1)))
+    return variants.view(np.int64), keys[doc[np.concatenate((short, long))]]
+
+
 def _list_parts(col) -> tuple[np.ndarray, np.ndarray]:
     """Values and lengths of an Arrow list column without nulls."""
     offsets = col.offsets.to_numpy()
@@ -168,20 +203,22 @@ def near_pairs(texts: DataFrame, common: float = COMMON) -> DataFrame:
     n_texts = texts.count()
     most = max(COMMON_LEAST, int(common * n_texts))
     # at most (mean lines of a text) / common rows
-    frequent = texts.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") > most).select("line").toPandas()["line"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(np.sort(frequent))
+    frequent = texts.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") > most).toPandas().sort_values("line")
+    shared = spark.sparkContext.broadcast((frequent["line"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
 
     def emit(batches):
         for b in batches:
             keys, sizes = b.column(0).to_numpy(), b.column(1).to_numpy()
             for k in range(0, len(keys), 1000):
                 lines, n = _list_parts(b.column(2).slice(k, 1000))
-                v, o = ball_variants(keys[k : k + 1000], n, lines, shared.value)
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(o)], ["variant", "key"])
+                v, o = ball_variants(keys[k : k + 1000], n, lines, shared.value[0])
+                for v, o in ((v | 1, o), prefix_keys(keys[k : k + 1000], n, lines, *shared.value)):
+                    yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(o)], ["variant", "key"])
 
     # one exchange serves both sides of the join
     balls = texts.select("text_key", "n_lines", "lines").mapInArrow(sliced(emit), "variant long, key long").repartition("variant")
-    met = balls.join(balls.withColumnRenamed("key", "key_b"), "variant").where("key < key_b").select(F.col("key").alias("key_a"), "key_b").distinct()
+    met = balls.join(balls.withColumnRenamed("key", "key_b"), "variant").where("key < key_b").groupBy(F.col("key").alias("key_a"), "key_b").agg(F.sum(F.when(F.col("variant") % 2 == 0, 1).otherwise(LEAST_MET)).alias("n_met"))
+    met = met.where(F.col("n_met") >= LEAST_MET).select("key_a", "key_b")
     # only texts that met another go on to the verification
     met = materialise(met, "met")
     keys = met.select(F.explode(F.array("key_a", "key_b")).alias("text_key")).distinct()

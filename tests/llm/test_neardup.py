@@ -58,6 +58,27 @@ def test_no_pair_is_lost(spark):
         assert len(got) >= 0.995 * len(want)
 
 
+def test_no_pair_is_lost_at_the_threshold(spark):
+    """Short texts with exactly three quarters in common, most of that in lines that many texts have."""
+    rng = random.Random(5)
+    pool = [f"common_{i}();" for i in range(30)]
+    rows = []
+    for g in range(300):
+        n = rng.choice([8, 12, 16, 24, 40])
+        both = rng.sample(pool, n // 2) + [f"both_{g}_{i}();" for i in range(n // 4)]
+        rows += [(f"{g:03}-{side}", "\n".join(both + [f"own_{g}_{side}_{i}();" for i in range(n // 4)]), "c") for side in "ab"]
+    got = {tuple(r) for r in neardup.found_pairs(frame(spark, rows)).collect()}
+    want = brute(rows)
+    assert len(want) >= 300
+    assert got == want
+
+
+def test_no_planted_pair_is_lost(spark):
+    for seed in (1, 2, 3):
+        rows = planted(seed)
+        assert {tuple(r) for r in neardup.found_pairs(frame(spark, rows)).collect()} == brute(rows)
+
+
 def test_hot_group_of_near_copies(spark):
     base = [f"value_{i} = call_{i}();" for i in range(30)]
     rows = [(f"h{k:03}", "\n".join(base[:k % 30] + [f"own_{k} = 1;"] + base[k % 30 + 1 :]), "c") for k in range(120)]
