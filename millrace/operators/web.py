@@ -24,7 +24,6 @@ CONTENT_LANGUAGES = [
 TITLE_PLACES = ["h1", "title", ".title", "#title"]
 BODY_PLACES = ["main", "article", ".content", ".post", ".entry", "body"]
 LEAST_CODE_BYTES = 10
-PAGE_LIMIT = 50_000
 
 
 def _first_of(rules: list[tuple[Column, str]], otherwise) -> Column:
@@ -138,9 +137,9 @@ class _Page(HTMLParser):
 
 
 def page_from_html(html: str) -> tuple[str | None, str | None, list[tuple[str | None, str]]]:
-    """(title, body text, [(class, code)]) of a page of up to PAGE_LIMIT characters."""
+    """(title, body text, [(class, code)]) of a whole page; the fetch source cuts what it fetches."""
     p = _Page()
-    p.feed(html[:PAGE_LIMIT])
+    p.feed(html)
     p.close()
     p.finish()
 

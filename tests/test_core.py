@@ -130,6 +130,12 @@ def test_vectors(spark):
     assert [r.vec_id for r in got] == [1, 6]
 
 
+def test_page_beyond_the_fetch_limit():
+    filler = "<p>" + "word " * 12_000 + "</p>"
+    _, body, blocks = web.page_from_html(f"<body>{filler}<pre>int main() {{ return 0; }}</pre><p>the end</p></body>")
+    assert body.endswith("the end") and [c for _, c in blocks] == ["int main() { return 0; }"]
+
+
 def test_page_from_html():
     html = "<html><head><title>T &amp; x</title><style>no</style></head><body><nav>menu</nav><main><h1>Head</h1><p>Body<script>bad()</script></p><pre><code class='language-rust'>fn main() { go(); }</code></pre></main></body></html>"
     title, body, blocks = web.page_from_html(html)
