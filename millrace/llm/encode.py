@@ -2,7 +2,8 @@
 
 Method: global distinct-word shuffle.  Each text is cut into pre-tokens with
 positions; every distinct pre-token of the corpus is encoded once; ids are
-joined back and put together by position.  Decoding joins the token-byte table.
+joined back and put together by position.  Decoding takes the bytes of each id from
+the vocabulary, which every worker reads, by index instead of a join.
 
 Words that make up at least ``hot_share`` of all occurrences number at most
 ``1 / hot_share``, whatever the corpus; they are broadcast with their ids, so
@@ -166,12 +167,6 @@ def encode_corpus(
     return grouped.mapInArrow(sliced(assemble), f"doc {doc_type}, ids array<int>").withColumnRenamed("doc", id_col)
 
 
-def token_bytes(spark, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
-    """token, bytes: the token-byte table of a vocabulary (its size is fixed)."""
-    rows = [(i, bytearray(b)) for b, i in ranks(tokenizer, folder).items()]
-    return spark.createDataFrame(rows, "token int, bytes binary")
-
-
 def decode_corpus(ids: DataFrame, id_col: str = "doc_id", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
     """``id_col`` and ``text``: join each id with the token-byte table, concatenate by position.
 
