@@ -6,11 +6,13 @@ sample of tokenized rows, applied to every row, and its bias is corrected by the
 ratio of true to predicted tokens on a tokenized holdout.
 
 The sample (``fit_rows`` for each language, by hash of the id, half of it held
-out) is the only bounded part; counts and estimates cover every row and the
+out) is the only bounded part; languages beyond the ``OWN_LANGUAGES`` most frequent
+ones are sampled as one; counts and estimates cover every row and the
 whole of every text.
 
 Defined results: null and empty texts count as records with 0 tokens; a language
-without enough tokenized rows uses the model fitted over all languages; slices
+without enough tokenized rows uses the model fitted over all languages, or, where
+there are more than ``OWN_LANGUAGES``, the one fitted over all such languages; slices
 with a null key come out as ``unknown``; repeated rows count as often as they
 stand in the table.
 """
@@ -29,6 +31,8 @@ from millrace.runtime import sliced
 FEATURES = ["bytes", "words", "digits", "punct", "spaces", "breaks", "upper", "latin", "cjk", "other"]
 FIT_ROWS = 600
 LEAST_FIT = 40
+#: So many languages have a sample of their own; all others share one, under the key POOLED.
+OWN_LANGUAGES, POOLED = 64, "(others)"
 
 # byte classes: 1 small letter or underscore, 2 capital, 3 digit, 4 punctuation, 5 space, 6 line break, 7-9 lead bytes by script, 0 others
 _CLASS = np.zeros(256, np.uint8)
@@ -109,17 +113,22 @@ def _nonnegative(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit_models(df: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, fit_rows: int = FIT_ROWS) -> dict[str, dict]:
     """language -> weights, bias, holdout error.  ``df`` has id, language, text.
 
-    At most about ``2 * fit_rows`` rows for each language reach the driver, as numbers.
+    At most about ``2 * fit_rows`` rows for each of OWN_LANGUAGES languages, and as many for
+    all others together, reach the driver, as numbers.
     """
     full = df.where("text IS NOT NULL AND text <> ''")
-    counts = {r["language"]: r["n"] for r in full.groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()}
+    counts = {r["language"]: r["n"] for r in full.groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").limit(OWN_LANGUAGES).collect()}
     if not counts:
         return {}
-    share = F.lit(0.0)
+    others = full.where(~F.coalesce(F.col("language").isin([x for x in counts if x is not None]), F.lit(False))).count() if len(counts) == OWN_LANGUAGES else 0
+    share = F.lit(min(1.0, 2.0 * fit_rows / others) if others else 0.0)
     for lang, n in counts.items():
         share = F.when(F.col("language") == lang, F.lit(min(1.0, 2.0 * fit_rows / n))).otherwise(share)
     unit = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = _with_features(full.withColumn("u", unit).where(F.col("u") < share), ["id", "language", "u"], (tokenizer, folder)).drop("id").orderBy("u").toPandas()
+    if others:
+        rows = sample["language"].map(sample["language"].value_counts())
+        sample["language"] = sample["language"].where(sample["language"].isin(list(counts)) & (rows >= LEAST_FIT), POOLED)
     models: dict[str, dict] = {}
     for lang, part in [("", sample), *sample.groupby("language")]:
         if len(part) < (LEAST_FIT if lang else 1):
@@ -152,7 +161,7 @@ def estimate_tokens(df: DataFrame, keys: list[str], models: dict[str, dict]) ->
             est = np.zeros(len(x))
             for lang in set(langs):
                 pick = langs == lang
-                w = weights.get(lang, weights.get(""))
+                w = weights.get(lang, weights.get(POOLED, weights.get("")))
                 if w is not None:
                     est[pick] = x[pick] @ w
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(cols))), pa.array(x[:, 0].astype("int64")), pa.array(est)], names=[*cols, "bytes", "est_tokens"])

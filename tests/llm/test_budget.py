@@ -40,3 +40,14 @@ def test_defined_results(spark):
     code = spark.createDataFrame([("a", "int x;", " C99", "/srv/Checkouts/Foo/", '{"domain": "net", "return_type": "in'), ("b", "x", "config", "p", None)], "id string, code string, language string, project string, metadata string")
     r = budget.token_budget(budget.code_slices(code), "code_entries").collect()
     assert [(x.source, x.language, x.domain, x.n_records) for x in r] == [("foo", "c", "net", 1)]
+
+
+def test_languages_beyond_the_most_frequent(spark):
+    plain, odd = "the quick brown fox jumps over the lazy dog and so on ", "4711 0815 99 314159 27 1828 "
+    rows = [(f"{k}-{i}", f"l{k:02}", plain * (1 + i % 5)) for k in range(64) for i in range(45)]
+    rows += [(f"x{k}-{i}", f"x{k:02}", odd * (1 + i % 7)) for k in range(12) for i in range(20)]
+    df = spark.createDataFrame(rows, "id string, language string, text string")
+    models = budget.fit_models(df)
+    got = budget.estimate_tokens(df.where("language LIKE 'x%'"), ["language"], models).agg({"est_tokens": "sum"}).first()[0]
+    true = sum(count_tokens([t for _, lang, t in rows if lang[0] == "x"], "byte_bpe_50k", TOKENIZER_DIR))
+    assert abs(got - true) < 0.1 * true
