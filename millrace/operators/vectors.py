@@ -29,15 +29,16 @@ def cosine(v: Column, query: list[float]) -> Column:
     return F.when(F.size(v) == len(query), F.try_divide(dot, norm(v) * F.lit(size)))
 
 
-def search(vectors: DataFrame, query: list[float], k: int = 10, threshold: float | None = None, **payload) -> DataFrame:
-    """The k best rows for one vector: vec_id, label, score.  Payload filters come before scoring."""
+def search(vectors: DataFrame, query: list[float], k: int | None = 10, threshold: float | None = None, **payload) -> DataFrame:
+    """The k best rows (None: all) for one vector: vec_id, label, score.  Payload filters come before scoring."""
     for name, value in payload.items():
         if value is not None:
             vectors = vectors.where(F.col(name) == value)
     scored = vectors.select("vec_id", "label", cosine(F.col("embedding"), query).alias("score")).where("score IS NOT NULL")
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
-    return scored.orderBy(F.col("score").desc(), "vec_id").limit(k)
+    ranked = scored.orderBy(F.col("score").desc(), "vec_id")
+    return ranked if k is None else ranked.limit(k)
 
 
 def search_all(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -102,7 +103,7 @@ def _one(s, d, **kw):
 QUERIES = {
     "vector_top_k": lambda s, d: _every_fiftieth(s, d).select("query_id", "vec_id", "position", F.round("score", 6).alias("score")),
     "vector_filtered": lambda s, d: _one(s, d, k=10, label=3),
-    "vector_threshold": lambda s, d: _one(s, d, k=10**6, threshold=0.1),
+    "vector_threshold": lambda s, d: _one(s, d, k=None, threshold=0.1),
     "vector_by_id": lambda s, d: table(s, d, "embeddings").groupBy("label").agg(F.count("*").alias("n_vectors"), F.max(F.size("embedding")).alias("dimension")),
     "vector_join": lambda s, d: join_hits(_every_fiftieth(s, d), table(s, d, "documents")).select("query_id", "vec_id", "position", "lang"),
 }

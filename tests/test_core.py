@@ -130,6 +130,12 @@ def test_vectors(spark):
     assert [r.vec_id for r in got] == [1, 6]
 
 
+def test_threshold_search_is_unlimited(spark, data):
+    assert "Limit" not in vectors.QUERIES["vector_threshold"](spark, data)._jdf.queryExecution().analyzed().toString()
+    df = spark.createDataFrame([(i, [1.0, i / 100], 1) for i in range(30)], "vec_id long, embedding array<float>, label int")
+    assert vectors.search(df, [1.0, 0.0], k=None, threshold=0.5).count() == 30
+
+
 def test_page_beyond_the_fetch_limit():
     filler = "<p>" + "word " * 12_000 + "</p>"
     _, body, blocks = web.page_from_html(f"<body>{filler}<pre>int main() {{ return 0; }}</pre><p>the end</p></body>")
