@@ -1,25 +1,28 @@
 """Generated, minified, vendored and data files among source code (problem 6).
 
-Method: a random forest over the look of the code alone (compression ratio,
-token entropy, identifier lengths, comment density, literals, line lengths).
-Its labels come from header notices, which are hidden from the features with all
-other comments, and, since minified files and data blobs bear no notice, from
-file names by convention and from unmistakable shapes: texts of literals, long
-literal tables, long lines of one-letter names.  The forest
-finds unlabelled files of the same look.
-
-Vendored copies look like any hand-written code; they are told by their path or
-by a notice of their origin.  A file (project and path) is judged as a whole: one
-telling piece, or its path, decides for all records of it, in code_entries and in
-file_mappings.
-
-The forest is fitted on at most about ``2 * FIT_ROWS`` rows, chosen by hash;
-features, labels and verdicts cover every row and whole texts.
+Method: a random forest over the look of the code alone (compression ratio, token
+entropy, identifier lengths, comment density, line lengths, spaces, digits, lines
+without names).  Its labels are hidden from the features: header notices, which are
+cut out of the text with all comments, file names by convention, which are no
+feature, and runs of more literals than anyone types, whose share is no feature.
+Both classes weigh the same, so that unlabelled files of a labelled look do not
+outvote it.  Labelled rows keep their label, the forest decides all others;
+``forest_check`` measures it on halves whose labels it did not see.
+
+Notices alone would not do as labels: where generators write code that looks like any
+other, a forest labelled by notices only finds nothing at all, minified files and data
+included.  Vendored copies look hand-written too; they are told by their path or by a
+notice of their origin.  A file (project and path) is judged as a
+whole: one telling piece, or its path, decides for all records of it, in code_entries
+and in file_mappings.
+
+The forest is fitted on at most about ``2 * FIT_ROWS`` rows, ``FIT_ROWS`` of each
+class, chosen by hash; features, labels and verdicts cover every row and whole texts.
 
 Defined results: rows whose language is ``project`` or ``config`` are no case; a
 null code is judged by its path alone, a null path by its code alone; a mapping
 without a path, or of an unknown file, is judged by its path; repeated rows give
-each id once.
+each id once; where all rows have the same label, or there is none, no forest is fitted.
 """
 
 from __future__ import annotations
@@ -37,15 +40,13 @@ from millrace.functions.slices import canonical_language, canonical_project, is_
 from millrace.runtime import materialise, sliced
 
 FIT_ROWS = 3000
-LEAST_POSITIVE = 10
-FEATURES = ["compression", "entropy", "ident_len", "short_idents", "comment_density", "line_len", "longest_line", "digit_share", "literal_share", "string_share", "space_share", "ident_variety", "table_share"]
-#: A text of which this share of characters are literals is a data blob.
-BLOB_SHARE, BLOB_CHARS = 0.75, 200
-#: So is one of which this share is runs of more literals than anyone types.
-TABLE_SHARE, TABLE_RUN = 0.1, 64
-#: A text with such mean lines and such a share of one-letter names is minified.
-PACKED_LINE, PACKED_NAMES = 200.0, 0.2
-VOTE = 0.5
+FEATURES = ["compression", "entropy", "ident_len", "short_idents", "comment_density", "line_len", "longest_line", "digit_share", "space_share", "ident_variety", "bare_share"]
+#: A line of more characters than this that holds no name is bare.
+BARE_LINE = 20
+#: Label of data: this share of the characters of a text is runs of more literals, or longer encoded strings, than anyone types.
+TABLE_SHARE, TABLE_RUN, TABLE_CHARS = 0.1, 64, 200
+#: Share of the trees' votes, where both classes weigh the same, from which a text is made.
+VOTE = 0.7
 
 #: Notices of generated files and of copies, in comments.
 GENERATED_NOTICE = re.compile(
@@ -74,11 +75,14 @@ _COMMENT = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\
 _PY_COMMENT = re.compile(r'#[^\n]*|"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'', re.S)
 _LINE_MARK = re.compile(r'^[ \t]*(?://)?[ \t]*#[ \t]*line[ \t]+\d+[ \t]+"[^"\n]*\.(?:y|l|yy|ll|re|rl|lex|ragel|ypp|lpp)"', re.M)
 _TABLE = re.compile(r"(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d.]*|'(?:[^'\\\n]|\\.){1,6}')[uUlLfF]*\s*,\s*){%d,}" % TABLE_RUN)
+_ENCODED = re.compile(r"[A-Za-z0-9+/]{%d,}={0,2}|(?:\\x[0-9a-fA-F]{2}){%d,}|(?:\\[0-7]{1,3}){%d,}" % (TABLE_RUN, TABLE_RUN // 2, TABLE_RUN // 2))
+_STRING = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'')
+_NAME = re.compile(r"(?<![\w.])[A-Za-z_]\w*")
 _TOKEN = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.){1,8}\'|`(?:[^`\\]|\\.)*`|[^\W\d]\w*|\d[\w.]*|[^\w\s]')
 
 
-def look(code: str, language: str) -> tuple[list[float], bool, bool]:
-    """(features, generated by notice, copy by notice) of one text."""
+def look(code: str, language: str) -> tuple[list[float], bool, bool, bool]:
+    """(features, generated by notice, copy by notice, data by its literals) of one text."""
     notes: list[str] = []
 
     def strip(m):
@@ -96,18 +100,12 @@ def look(code: str, language: str) -> tuple[list[float], bool, bool]:
     copied = bool(COPY_NOTICE.search(" ".join(said.split())))
     raw = body.encode("utf-8", "replace")
     n = max(1, len(body))
-    toks = _TOKEN.findall(body)
-    counts = Counter(toks)
-    total = max(1, len(toks))
+    counts = Counter(_TOKEN.findall(body))
+    total = max(1, sum(counts.values()))
     entropy = -sum(c / total * log2(c / total) for c in counts.values())
     idents = [(t, c) for t, c in counts.items() if t[0].isalpha() or t[0] == "_"]
     n_idents = max(1, sum(c for _, c in idents))
-    strings = sum(len(t) * c for t, c in counts.items() if t[0] in "\"'`")
-    numbers = sum(len(t) * c for t, c in counts.items() if t[0].isdigit())
-    dense = max(1, sum(len(t) * c for t, c in counts.items()))
-    commas = counts[","]
     lines = body.split("\n")
-    digits = sum(map(body.count, "0123456789"))
     features = [
         len(zlib.compress(raw, 1)) / max(1, len(raw)),
         entropy,
@@ -116,14 +114,16 @@ def look(code: str, language: str) -> tuple[list[float], bool, bool]:
         sum(map(len, shown)) / max(1, len(code)),
         n / len(lines),
         float(max(map(len, lines))),
-        digits / n,
-        (strings + numbers + (commas if strings + numbers > 4 * commas / 2 else 0)) / dense,
-        strings / dense,
+        sum(map(body.count, "0123456789")) / n,
         sum(map(body.count, " \n\t\r")) / n,
         len(idents) / n_idents,
-        sum(len(m[0]) for m in _TABLE.finditer(body)) / n,
+        sum(len(ln) for ln in lines if len(ln) > BARE_LINE and not _NAME.search(_STRING.sub("0", ln))) / n,
     ]
-    return features, generated, copied
+    # a run of literals has a comma for each, an encoded string is one token
+    tables = sum(len(m[0]) for m in _TABLE.finditer(body)) if counts[","] >= TABLE_RUN else 0
+    encoded = sum(len(m[0]) * c for t, c in counts.items() if len(t) >= TABLE_RUN for m in _ENCODED.finditer(t))
+    data = len(code) >= TABLE_CHARS and tables + encoded >= TABLE_SHARE * n
+    return features, generated, copied, data
 
 
 def file_key(path: Column) -> Column:
@@ -133,54 +133,70 @@ def file_key(path: Column) -> Column:
 
 
 def entry_looks(entries: DataFrame) -> DataFrame:
-    """id, project, path, features, by_notice, by_copy, by_path, by_shape of each row that is code."""
-    ddl = "id string, project string, path string, " + ", ".join(f"{f} double" for f in FEATURES) + ", by_notice boolean, by_copy boolean, by_shape boolean"
+    """id, project, path, FEATURES, by_notice, by_copy, by_data, by_path, by_name of each row that is code."""
+    marks = ["by_notice", "by_copy", "by_data"]
+    ddl = "id string, project string, path string, " + ", ".join([*(f"{f} double" for f in FEATURES), *(f"{m} boolean" for m in marks)])
 
     def run(batches):
         for b in batches:
-            feats, notice, copy, blob = [], [], [], []
-            for code, lang in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
-                f, g, c = look(code or "", lang)
-                feats.append(f)
-                notice.append(g)
-                copy.append(c)
-                blob.append(len(code or "") >= BLOB_CHARS and (f[8] >= BLOB_SHARE or f[12] >= TABLE_SHARE or f[5] >= PACKED_LINE and f[3] >= PACKED_NAMES))
-            cols = list(zip(*feats)) if feats else [()] * len(FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(c, pa.float64()) for c in cols), pa.array(notice, pa.bool_()), pa.array(copy, pa.bool_()), pa.array(blob, pa.bool_())], names=["id", "project", "path", *FEATURES, "by_notice", "by_copy", "by_shape"])
+            rows = [look(code or "", lang) for code, lang in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            feats = [pa.array([r[0][i] for r in rows], pa.float64()) for i in range(len(FEATURES))]
+            said = [pa.array([r[i] for r in rows], pa.bool_()) for i in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *feats, *said], names=["id", "project", "path", *FEATURES, *marks])
 
     kept = entries.where(is_code(F.col("language")) & F.col("id").isNotNull())
     slim = kept.select(F.col("id").cast("string").alias("id"), canonical_project(F.col("project")).alias("project"), file_key(F.col("file_path")).alias("path"), F.col("code").cast("string").alias("code"), canonical_language(F.col("language")).alias("language"))
-    return slim.mapInArrow(sliced(run), ddl).withColumn("by_path", F.coalesce(F.col("path").rlike(PATH_PATTERN), F.lit(False)))
+    return slim.mapInArrow(sliced(run), ddl).withColumn("by_path", F.coalesce(F.col("path").rlike(PATH_PATTERN), F.lit(False))).withColumn("by_name", made_by_name(F.col("path")))
 
 
 def made_by_name(path: Column) -> Column:
     return F.coalesce(path.rlike(f"(?:^|/){MADE_NAME}$"), F.lit(False))
 
 
-def forest_verdicts(looks: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 11) -> DataFrame:
-    """looks with ``by_look``: the forest's verdict on each row."""
+def _unit(seed: int) -> Column:
+    """A number of 0 up to 1 for each id."""
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def forest_votes(known: DataFrame, asked: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 11) -> DataFrame:
+    """``asked`` with ``by_look``: the verdict of the forest fitted on ``known`` for each row."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    labelled = looks.withColumn("label", (F.col("by_notice") | F.col("by_shape") | made_by_name(F.col("path"))).cast("double"))
-    n = {r["label"]: r["n"] for r in labelled.where("NOT by_copy").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if min(n.get(0.0, 0), n.get(1.0, 0)) < LEAST_POSITIVE:
-        return looks.withColumn("by_look", F.lit(False))
-    # both labels keep their shares: the forest's vote is a probability
-    share = min(1.0, 2.0 * fit_rows / sum(n.values()))
-    unit = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    labelled = known.where("NOT by_copy").withColumn("label", (F.col("by_notice") | F.col("by_data") | F.col("by_name")).cast("double"))
+    n = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return asked.withColumn("by_look", F.lit(False))
+    share = F.when(F.col("label") == 1.0, F.lit(min(1.0, fit_rows / n[1.0]))).otherwise(F.lit(min(1.0, fit_rows / n[0.0])))
+    sample = materialise(labelled.where(_unit(seed) < share).select(*FEATURES, "label"), "forest-sample")
+    drawn = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(drawn) < 2:
+        return asked.withColumn("by_look", F.lit(False))
+    weighed = sample.withColumn("weight", F.when(F.col("label") == 1.0, F.lit(1.0)).otherwise(F.lit(drawn[1.0] / drawn[0.0])))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="x")
-    sample = materialise(labelled.where((unit < share) & ~F.col("by_copy")).select(*FEATURES, "label"), "forest-sample")
-    forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=40, maxDepth=6, minInstancesPerNode=8, seed=seed).fit(vectors.transform(sample.coalesce(1)))
-    voted = forest.transform(vectors.transform(looks))
+    forest = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", numTrees=40, maxDepth=6, minInstancesPerNode=8, seed=seed).fit(vectors.transform(weighed.coalesce(1)))
+    voted = forest.transform(vectors.transform(asked))
     return voted.withColumn("by_look", vector_to_array("probability")[1] >= VOTE).drop("x", "rawPrediction", "probability", "prediction")
 
 
+def forest_check(looks: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """evidence, n_records, n_found: what the forest alone finds in the half of the rows whose labels it did not see.
+
+    One row for each kind of evidence (the first that holds): data, notice, name, copy, path, none.
+    """
+    halves = _unit(5) < 0.5
+    votes = forest_votes(looks.where(halves), looks.where(~halves), fit_rows).unionByName(forest_votes(looks.where(~halves), looks.where(halves), fit_rows))
+    kind = F.lit("none")
+    for k in ("path", "copy", "name", "notice", "data"):
+        kind = F.when(F.col(f"by_{k}"), k).otherwise(kind)
+    return votes.groupBy(kind.alias("evidence")).agg(F.count("*").alias("n_records"), F.count_if("by_look").alias("n_found"))
+
+
 def judged_entries(entries: DataFrame) -> DataFrame:
     """id, project, path, is_made of each row that is code, by itself."""
     looks = materialise(entry_looks(entries), "looks")
-    return forest_verdicts(looks).select("id", "project", "path", (F.col("by_notice") | F.col("by_copy") | F.col("by_path") | F.col("by_shape") | F.col("by_look")).alias("is_made"))
+    return forest_votes(looks, looks).select("id", "project", "path", (F.col("by_look") | F.col("by_notice") | F.col("by_data") | F.col("by_copy") | F.col("by_path")).alias("is_made"))
 
 
 def made_records(entries: DataFrame, mappings: DataFrame) -> DataFrame:

@@ -62,5 +62,23 @@ def test_empty(spark):
 
 
 def test_forest_votes_on_unlabelled_files(spark):
-    votes = {r.id: r.by_look for r in generated.forest_verdicts(generated.entry_looks(entries(spark))).collect()}
+    looks = generated.entry_looks(entries(spark))
+    votes = {r.id: r.by_look for r in generated.forest_votes(looks, looks).collect()}
     assert all(votes[f"m{k}"] for k in range(20)) and not any(votes[f"h{k}"] for k in range(150))
+
+
+def test_forest_finds_what_it_did_not_see(spark):
+    rng = random.Random(9)
+    rows = [(f"h{k}", hand(rng, k), "c", "Proj", f"src/h{k}.c") for k in range(300)]
+    rows += [(f"m{k}", minified(rng), "js", "Proj", f"web/m{k}.min.js" if k % 2 else f"web/m{k}.js") for k in range(80)]
+    rows += [(f"b{k}", f"const unsigned char t{k}[] = {{\n" + "\n".join(", ".join(f"0x{rng.randint(0, 255):02x}" for _ in range(12)) + "," for _ in range(60)) + "\n};", "c", "proj", f"src/b{k}.c") for k in range(40)]
+    looks = generated.entry_looks(spark.createDataFrame([(*r, "clash", 1.0) for r in rows], ENTRY))
+    got = {r.evidence: (r.n_records, r.n_found) for r in generated.forest_check(looks).collect()}
+    assert got["name"][1] >= 0.9 * got["name"][0] and got["data"][1] >= 0.9 * got["data"][0]
+    # minified files without a telling name are found, hand-written ones are not
+    assert 36 <= got["none"][1] <= 40 and got["none"][0] == 340
+
+
+def test_one_label_fits_no_forest(spark):
+    looks = generated.entry_looks(entries(spark).where("id LIKE 'h%'"))
+    assert not any(r.by_look for r in generated.forest_votes(looks, looks).collect())
