@@ -40,7 +40,7 @@ def test_triples_round_trip(value, spaced):
 def test_broken(text):
     with pytest.raises(ValueError):
         list(nested.stream_triples(text))
-    assert nested.relation_rows(text) == []
+    assert nested.group_triples(text) == []
 
 
 def test_variants(spark):
@@ -71,3 +71,44 @@ def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert nested.distinct_includes(df).count() == 0
     assert nested.relation_table(nested.relation_triples(df)).count() == 0
+
+
+def test_unknown_members_are_kept(spark):
+    text = '{"files":[{"path":"a","owners":[{"name":"x"}],"meta":{"k":1}}],"extra":[{"p":1}],"n":5}'
+    df = spark.createDataFrame([(1, text, "clash", "clash"), (1, text, "clash", "clash"), (2, "{", "c", "c")], SCHEMA)
+    tables = nested.group_tables(nested.flatten_records(df, "relation_id", "relation"), "relation_id")
+    got = {g: [r.asDict() for r in t.collect()] for g, t in tables.items()}
+    assert {g: len(r) for g, r in got.items()} == {"record": 1, "files[]": 1, "files[].owners[]": 1, "extra[]": 1}
+    assert got["record"][0]["n"] == "5" and got["extra[]"][0]["p"] == "1"
+    assert got["files[]"][0]["path"] == "a" and got["files[]"][0]["meta.k"] == "1"
+    owner = got["files[].owners[]"][0]
+    assert owner["name"] == "x" and owner["parent"] == got["files[]"][0]["row"]
+
+
+def test_groups_within_groups():
+    def groups(value):
+        return {r[0] for r in nested.group_triples(json.dumps(value))}
+
+    tree = {"dirs": [{"dir": "a", "dirs": [{"dir": "b", "dirs": [{"dir": "c"}]}]}]}
+    assert groups(tree) == {"record", "dirs[]"}
+    assert groups({"by_path": {"src/a.c": {"n": 1}, "Makefile": {"n": 2}}}) == {"record", "by_path{}"}
+    assert groups({"point": {"x": {"v": 1}, "y": {"v": 2}}}) == {"record"}
+    assert groups({"m": [[1, 2], [3]]}) == {"record", "m[]", "m[].[]"}
+
+
+def test_deep_and_wide(spark):
+    deep = "[" * 3000 + "]" * 3000
+    assert len(nested.group_triples(deep)) == 3000
+    wide = json.dumps({f"f{k}": k for k in range(30)})
+    df = spark.createDataFrame([(1, wide, "c", "c")], SCHEMA)
+    row = nested.group_tables(nested.flatten_records(df, "relation_id", "relation"), "relation_id", most_fields=10)["record"].first()
+    assert len(row.rest) == 20 and sum(int(row[f"f{k}"]) for k in range(30) if f"f{k}" in row.asDict()) + sum(map(int, row.rest.values())) == sum(range(30))
+
+
+@settings(max_examples=100, deadline=None)
+@given(values)
+def test_every_scalar_is_one_field(value):
+    def scalars(v):
+        return sum(map(scalars, v.values() if isinstance(v, dict) else v)) if isinstance(v, (dict, list)) else 1
+
+    assert sum(r[6] is not None for r in nested.group_triples(json.dumps(value))) == scalars(value)
