@@ -46,7 +46,9 @@ BARE_LINE = 20
 #: Label of data: this share of the characters of a text is runs of more literals, or longer encoded strings, than anyone types.
 TABLE_SHARE, TABLE_RUN, TABLE_CHARS = 0.1, 64, 200
 #: Share of the trees' votes, where both classes weigh the same, from which a text is made.
-VOTE = 0.7
+VOTE = 0.75
+#: Unlabelled rows with this share of the votes of a first forest are left out of the sample.
+DOUBT = 0.5
 
 #: Notices of generated files and of copies, in comments.
 GENERATED_NOTICE = re.compile(
@@ -169,13 +171,20 @@ def forest_votes(known: DataFrame, asked: DataFrame, fit_rows: int = FIT_ROWS, s
     if len(n) < 2:
         return asked.withColumn("by_look", F.lit(False))
     share = F.when(F.col("label") == 1.0, F.lit(min(1.0, fit_rows / n[1.0]))).otherwise(F.lit(min(1.0, fit_rows / n[0.0])))
-    sample = materialise(labelled.where(_unit(seed) < share).select(*FEATURES, "label"), "forest-sample")
+    sample = materialise(labelled.where(_unit(seed) < share).dropDuplicates(["id"]).select(*FEATURES, "label"), "forest-sample")
     drawn = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(drawn) < 2:
         return asked.withColumn("by_look", F.lit(False))
-    weighed = sample.withColumn("weight", F.when(F.col("label") == 1.0, F.lit(1.0)).otherwise(F.lit(drawn[1.0] / drawn[0.0])))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="x")
-    forest = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", numTrees=40, maxDepth=6, minInstancesPerNode=8, seed=seed).fit(vectors.transform(weighed.coalesce(1)))
+
+    def fit(rows: DataFrame, made: int, other: int):
+        weighed = vectors.transform(rows.withColumn("weight", F.when(F.col("label") == 1.0, F.lit(1.0)).otherwise(F.lit(made / max(1, other)))).coalesce(1).sortWithinPartitions(*FEATURES))
+        return RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", numTrees=40, maxDepth=6, minInstancesPerNode=8, seed=seed).fit(weighed)
+
+    # an unlabelled row of a labelled look says nothing: it is no example of hand-written code
+    first = fit(sample, drawn[1.0], drawn[0.0]).transform(vectors.transform(sample))
+    clear = materialise(first.where((F.col("label") == 1.0) | (vector_to_array("probability")[1] < DOUBT)).select(*FEATURES, "label"), "forest-clear")
+    forest = fit(clear, drawn[1.0], clear.where("label = 0").count())
     voted = forest.transform(vectors.transform(asked))
     return voted.withColumn("by_look", vector_to_array("probability")[1] >= VOTE).drop("x", "rawPrediction", "probability", "prediction")
 

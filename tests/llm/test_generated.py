@@ -19,7 +19,7 @@ def minified(rng):
 def entries(spark):
     rng = random.Random(4)
     rows = [(f"h{k}", hand(rng, k), "c", "Proj", f"src/h{k}.c") for k in range(150)]
-    rows += [(f"m{k}", minified(rng), "js", "Proj", f"web/m{k}.min.js" if k % 2 else f"web/m{k}.js") for k in range(20)]
+    rows += [(f"m{k}", minified(rng), "js", "Proj", f"web/m{k}.min.js" if k % 2 else f"web/m{k}.js") for k in range(120)]
     rows += [(f"t{k}", f"static const uint8_t t[{30 + k}] = {{" + "0x12, " * (30 + k) + "};\n" + hand(rng, f"t{k}"), "c", "proj", f"src/t{k}.c") for k in range(16)]
     rows += [
         ("g1", "// Code generated by tool. DO NOT EDIT.\n" + hand(rng, "g1"), "c", "proj", "src/g1.c"),
@@ -50,7 +50,7 @@ def test_records(spark):
     e, m = entries(spark), mappings(spark)
     got = {tuple(r) for r in generated.made_records(e, m).collect()}
     code = {i for t, i in got if t == "code_entries"}
-    assert code == {f"m{k}" for k in range(20)} | {"g1", "g2", "v1", "v2", "v3", "b1", "e1"}
+    assert code == {f"m{k}" for k in range(120)} | {"g1", "g2", "v1", "v2", "v3", "b1", "e1"}
     assert {i for t, i in got if t == "file_mappings"} == {"p1", "p3", "p5", "p6"}
     twice = {tuple(r) for r in generated.made_records(e.unionAll(e), m.unionAll(m)).collect()}
     assert twice == got
@@ -64,7 +64,7 @@ def test_empty(spark):
 def test_forest_votes_on_unlabelled_files(spark):
     looks = generated.entry_looks(entries(spark))
     votes = {r.id: r.by_look for r in generated.forest_votes(looks, looks).collect()}
-    assert all(votes[f"m{k}"] for k in range(20)) and not any(votes[f"h{k}"] for k in range(150))
+    assert all(votes[f"m{k}"] for k in range(120)) and not any(votes[f"h{k}"] for k in range(150))
 
 
 def test_forest_finds_what_it_did_not_see(spark):
