@@ -1,7 +1,7 @@
 """Which other language is a text?  Token-based ranking, then one parser for each language.
 
-JSON, TOML and Python are parsed by the standard library, C, C++ and JavaScript
-by a recursive-descent parser for their common statement and expression syntax.
+JSON, TOML and Python are parsed by the standard library, C, C++ and JavaScript by the
+parsers of ``cparse`` and ``jsparse``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ import tomllib
 import warnings
 from collections import Counter
 
-from millrace.llm.rustparse import Malformed
+from millrace.llm import jsparse
+from millrace.llm.cparse import CParser
+from millrace.llm.rustparse import Malformed, deep_enough
 from millrace.llm.rustparse import error_in as rust_error
 
 #: Words that speak for a language, with the punctuation that does.
@@ -27,523 +29,18 @@ SIGNS = {
     "rust": "fn let mut pub impl use crate match unsafe -> :: => usize u32 Some None Ok Err ;",
 }
 _SIGN_SETS = {k: frozenset(v.split()) for k, v in SIGNS.items()}
+#: A sign that several languages share speaks less for each.
+_SHARED = Counter(s for signs in _SIGN_SETS.values() for s in signs)
 _SIGN = re.compile(r'#include|#define|\[package\]|\[dependencies\]|":|===|!==|=>|->|::|[A-Za-z_]\w*|[^\w\s]')
 
 
 def rank_languages(text: str) -> list[str]:
     """Languages by the share of the text's tokens that speak for them, likeliest first."""
     seen = Counter(_SIGN.findall(text))
-    # a sign that several languages share speaks less for each
-    shared = Counter(s for signs in _SIGN_SETS.values() for s in signs)
-    score = {lang: sum(seen[s] / shared[s] for s in signs if s in seen) / (1 + len(signs)) ** 0.5 for lang, signs in _SIGN_SETS.items()}
+    score = {lang: sum(seen[s] / _SHARED[s] for s in signs if s in seen) / (1 + len(signs)) ** 0.5 for lang, signs in _SIGN_SETS.items()}
     return sorted(score, key=lambda k: (-score[k], k))
 
 
-_C_LEX = re.compile(
-    r"\s*("
-    r"//[^\n]*|/\*.*?\*/|/\*"
-    r'|(?:u8|[uUL])?"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\.)*`'
-    r"|(?:0[xX][0-9a-fA-F']+|0[bB][01]+|(?:[0-9][0-9'_]*\.?[0-9]*|\.[0-9]+)(?:[eEpP][+-]?[0-9]+)?)(?:[uUlLfFn]*|u?int\w*)(?!\w)"
-    r"|[A-Za-z_$]\w*"
-    r"|>>>=|\.\.\.|<=>|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|->\*|=>|\*\*|\?\?|\?\.(?![0-9])|::|->|\+\+|--|&&|\|\||[-+*/%&|^=!<>]=|<<|>>|[-+*/%&|^=!<>?:;,.(){}\[\]~#@]"
-    r"|\S)",
-    re.S,
-)
-_C_BIN = {"=": 1, "+=": 1, "-=": 1, "*=": 1, "/=": 1, "%=": 1, "&=": 1, "|=": 1, "^=": 1, "<<=": 1, ">>=": 1, "||": 3, "&&": 4, "|": 5, "^": 6, "&": 7, "==": 8, "!=": 8, "<": 9, ">": 9, "<=": 9, ">=": 9, "<<": 10, ">>": 10, "+": 11, "-": 11, "*": 12, "/": 12, "%": 12}
-_JS_BIN = _C_BIN | {"===": 8, "!==": 8, "??": 3, "**": 13, ">>>": 10, "in": 9, "instanceof": 9, "**=": 1, ">>>=": 1, "&&=": 1, "||=": 1, "??=": 1}
-_C_WORDS = frozenset("if else while for do switch case default return goto break continue struct union enum typedef static extern const volatile unsigned signed inline register sizeof".split())
-_CPP_WORDS = _C_WORDS | frozenset("class namespace template typename public private protected virtual using new delete try catch throw operator this explicit friend mutable constexpr".split())
-_JS_WORDS = frozenset("if else while for do switch case default return break continue function var let const class new delete typeof void in instanceof try catch finally throw async await yield import export this super".split())
-_TYPE_WORDS = frozenset("struct union enum const volatile unsigned signed static extern inline register typename constexpr mutable virtual explicit friend".split())
-
-
-class BraceParser:
-    """Statements and expressions of C, C++ or JavaScript."""
-
-    def __init__(self, text: str, lang: str):
-        self.js = lang == "javascript"
-        self.words = {"c": _C_WORDS, "cpp": _CPP_WORDS, "javascript": _JS_WORDS}[lang]
-        self.cpp = lang == "cpp"
-        if not self.js:
-            text = re.sub(r"(?m)^[ \t]*#[ \t]*(?:include|define|if|ifdef|ifndef|elif|else|endif|undef|pragma|error|line)\b(?:\\\r?\n|.)*", "", text)
-        self.t, self.line_start = [], []
-        last = 0
-        for m in _C_LEX.finditer(text):
-            x = m[1]
-            if x.startswith(("//", "/*")):
-                if x == "/*":
-                    raise Malformed("unterminated comment")
-                continue
-            if x in ('"', "'", "\\", "`", "@", "#") or x[0] == "`" and not self.js:
-                raise Malformed("no token " + x[:10])
-            self.t.append(x)
-            self.line_start.append("\n" in text[last : m.start(1)])
-            last = m.end()
-        self.n = len(self.t)
-        self.t += [""] * 4
-        self.line_start += [True] * 4
-        self.p = 0
-        self.bin = _JS_BIN if self.js else _C_BIN
-
-    def fail(self):
-        raise Malformed("unexpected " + " ".join(self.t[self.p : self.p + 4]))
-
-    def got(self, x: str) -> bool:
-        if self.t[self.p] == x:
-            self.p += 1
-            return True
-        return False
-
-    def need(self, x: str):
-        if not self.got(x):
-            self.fail()
-
-    def is_name(self, at: int = 0) -> bool:
-        x = self.t[self.p + at]
-        return bool(x) and (x[0].isalpha() or x[0] in "_$") and x not in self.words
-
-    def end(self):
-        if self.got(";"):
-            return
-        if self.js and (self.t[self.p] == "}" or self.line_start[self.p]):
-            return
-        self.fail()
-
-    def file(self):
-        if not self.n:
-            self.fail()
-        while self.p < self.n:
-            self.statement(top=True)
-
-    def block(self):
-        self.need("{")
-        while not self.got("}"):
-            if self.p >= self.n:
-                self.fail()
-            self.statement()
-
-    def statement(self, top: bool = False):
-        x = self.t[self.p]
-        if x == ";":
-            self.p += 1
-        elif x == "{":
-            self.block()
-        elif x in ("if", "while", "switch"):
-            self.p += 1
-            self.need("(")
-            self.expr()
-            self.need(")")
-            self.statement()
-            if x == "if" and self.got("else"):
-                self.statement()
-        elif x == "for":
-            self.p += 1
-            self.got("await")
-            self.need("(")
-            if not self.got(";"):
-                self.declaration_or_expr()
-                if self.js and self.t[self.p] == "of" or self.t[self.p] == "in" or self.cpp and self.t[self.p] == ":":
-                    self.p += 1
-                    self.expr()
-                    self.need(")")
-                    self.statement()
-                    return
-                self.need(";")
-            if self.t[self.p] != ";":
-                self.expr()
-            self.need(";")
-            if self.t[self.p] != ")":
-                self.expr()
-            self.need(")")
-            self.statement()
-        elif x == "do":
-            self.p += 1
-            self.statement()
-            self.need("while")
-            self.need("(")
-            self.expr()
-            self.need(")")
-            self.end()
-        elif x in ("return", "throw"):
-            self.p += 1
-            if self.t[self.p] not in (";", "}") and not (self.js and self.line_start[self.p]):
-                self.expr()
-            self.end()
-        elif x in ("break", "continue"):
-            self.p += 1
-            if self.js and self.is_name() and not self.line_start[self.p]:
-                self.p += 1
-            self.end()
-        elif x == "goto" and not self.js:
-            self.p += 1
-            if not self.is_name():
-                self.fail()
-            self.p += 1
-            self.need(";")
-        elif x in ("case", "default") and x in self.words:
-            self.p += 1
-            if x == "case":
-                self.binary(2)
-            self.need(":")
-        elif x == "try" and x in self.words:
-            self.p += 1
-            self.block()
-            while self.got("catch"):
-                if self.got("("):
-                    while not self.got(")"):
-                        self.p += 1
-                        if self.p >= self.n:
-                            self.fail()
-                self.block()
-            if self.got("finally"):
-                self.block()
-        elif self.is_name() and self.t[self.p + 1] == ":" and self.t[self.p + 2] != ":":
-            self.p += 2
-        elif self.js:
-            self.js_statement()
-        else:
-            self.declaration(top)
-
-    def js_statement(self):
-        x = self.t[self.p]
-        if x[0] == "`":
-            self.fail()  # a text in backticks is no program
-        if x in ("import", "export") and self.t[self.p + 1] != "(":
-            self.p += 1
-            self.got("default")
-            if self.t[self.p] in ("function", "class", "const", "let", "var", "async") or x == "export" and self.t[self.p] not in ("{", "*"):
-                return self.statement()
-            while self.p < self.n and self.t[self.p] != ";" and not self.line_start[self.p + 1]:
-                self.p += 1
-            self.p += self.t[self.p] != ";"
-            self.end()
-        elif x == "function" or x == "async" and self.t[self.p + 1] == "function":
-            self.primary()
-        elif x == "class":
-            self.primary()
-        else:
-            self.declaration_or_expr()
-            self.end()
-
-    def declaration_or_expr(self):
-        if not self.js:
-            if not self.try_declaration():
-                self.expr()
-            return
-        if self.t[self.p] in ("var", "let", "const"):
-            self.p += 1
-            while True:
-                self.unary()
-                if self.got("="):
-                    self.binary(1)
-                if not self.got(","):
-                    return
-        self.expr()
-
-    def type_tokens(self) -> int:
-        """Number of tokens that read as a type, 0 if none."""
-        i, named = self.p, False
-        while True:
-            x = self.t[i]
-            if x in ("unsigned", "signed"):
-                named = True
-                i += 1
-            elif x in ("struct", "union", "enum", "class"):
-                i += 1
-            elif x in _TYPE_WORDS:
-                i += 1
-            elif x and (x[0].isalpha() or x[0] == "_") and x not in self.words and (not named or self.t[i - 1] in ("unsigned", "signed", "long", "short", "int", "::") and x in ("int", "long", "short", "char", "double")):
-                named = True
-                i += 1
-                if self.cpp and self.t[i] == "<":
-                    depth, j = 1, i + 1
-                    while depth and j < self.n and self.t[j] not in (";", "{"):
-                        depth += {"<": 1, ">": -1, ">>": -2}.get(self.t[j], 0)
-                        j += 1
-                    if depth <= 0:
-                        i = j
-                while self.cpp and self.t[i] == "::":
-                    i += 2
-            elif x in ("*", "&", "&&") and named:
-                i += 1
-            else:
-                break
-        return i - self.p if named else 0
-
-    def try_declaration(self) -> bool:
-        start, n = self.p, self.type_tokens()
-        self.p += n
-        if not n or not (self.is_name() or self.t[self.p] == "("):
-            self.p = start
-            return False
-        if self.t[self.p] == "(" and self.t[self.p + 1] != "*":
-            self.p = start
-            return False
-        while True:
-            while self.t[self.p] in ("*", "&", "&&", "const"):
-                self.p += 1
-            if self.got("("):
-                while self.got("*"):
-                    pass
-                self.p += self.is_name()
-                self.need(")")
-            else:
-                if not self.is_name():
-                    self.p = start
-                    return False
-                self.p += 1
-                while self.cpp and self.t[self.p] == "::" and self.t[self.p + 1]:
-                    self.p += 2
-            while self.t[self.p] in ("[", "("):
-                self.group()
-            if self.got(":") and not self.cpp:
-                self.binary(2)
-            if self.got("="):
-                self.initializer()
-            if not self.got(","):
-                return True
-
-    def initializer(self):
-        if self.got("{"):
-            while not self.got("}"):
-                if self.t[self.p] in (".", "["):
-                    if self.got("."):
-                        self.p += 1
-                    else:
-                        self.group()
-                    self.need("=")
-                self.initializer()
-                if not self.got(","):
-                    self.need("}")
-                    return
-        else:
-            self.binary(1)
-
-    def group(self):
-        """A balanced group, its inside unread but for its brackets."""
-        close = {"(": ")", "[": "]", "{": "}"}
-        stack = []
-        while True:
-            x = self.t[self.p]
-            if not x:
-                self.fail()
-            if x in close:
-                stack.append(close[x])
-            elif x in (")", "]", "}"):
-                if not stack or stack.pop() != x:
-                    self.fail()
-            self.p += 1
-            if not stack:
-                return
-
-    def declaration(self, top: bool):
-        if self.got("typedef") or self.cpp and self.got("using"):
-            while self.t[self.p] != ";":
-                self.group()
-            self.p += 1
-            return
-        if self.cpp and self.t[self.p] in ("namespace", "template", "public", "private", "protected"):
-            x = self.t[self.p]
-            self.p += 1
-            if x == "template":
-                depth = 0
-                while True:
-                    depth += {"<": 1, ">": -1, ">>": -2}.get(self.t[self.p], 0)
-                    self.p += 1
-                    if depth <= 0 or self.p >= self.n:
-                        break
-                return self.statement(top)
-            if x == "namespace":
-                self.p += self.is_name()
-                self.block()
-            else:
-                self.need(":")
-            return
-        start = self.p
-        # struct, union, enum or class with a body
-        i = self.p
-        while self.t[i] in ("static", "const", "extern"):
-            i += 1
-        if self.t[i] in ("struct", "union", "enum", "class"):
-            j = i + 1
-            while self.t[j] and self.t[j] not in ("{", ";", "=", "(", "*"):
-                j += 1
-            if self.t[j] == "{":
-                self.p = j
-                if self.t[i] == "enum":
-                    self.group()
-                else:
-                    self.block()
-                while self.t[self.p] != ";":
-                    self.group()
-                self.p += 1
-                return
-        if self.try_declaration():
-            if self.t[self.p] == "{" or self.cpp and self.t[self.p] in ("const", "noexcept", "override"):
-                while self.t[self.p] in ("const", "noexcept", "override"):
-                    self.p += 1
-                self.block()
-            else:
-                self.need(";")
-            return
-        self.p = start
-        if top:
-            self.fail()
-        self.expr()
-        self.need(";")
-
-    def expr(self):
-        self.binary(1)
-        while self.got(","):
-            self.binary(1)
-
-    def binary(self, least: int):
-        self.unary()
-        while True:
-            x = self.t[self.p]
-            n = self.bin.get(x)
-            if x == "?" and least <= 2:
-                self.p += 1
-                self.binary(1)
-                self.need(":")
-                self.binary(1)
-            elif n is None or n < least:
-                return
-            else:
-                self.p += 1
-                self.binary(n + (n > 1))
-
-    def unary(self):
-        while self.t[self.p] in ("-", "+", "!", "~", "*", "&", "++", "--", "...") or self.t[self.p] in ("typeof", "void", "delete", "await", "yield", "new", "throw") and self.t[self.p] in self.words:
-            if self.js and self.t[self.p] in ("*", "&"):
-                self.fail()
-            self.p += 1
-        self.primary()
-
-    def primary(self):
-        x = self.t[self.p]
-        if not x:
-            self.fail()
-        if self.js and (x == "function" or x == "async" and self.t[self.p + 1] == "function"):
-            self.p += 1 + (x == "async")
-            self.got("*")
-            self.p += self.is_name()
-            if self.t[self.p] != "(":
-                self.fail()
-            self.group()
-            self.block()
-        elif self.js and x == "class":
-            while self.t[self.p] != "{":
-                self.p += 1
-                if self.p >= self.n:
-                    self.fail()
-            self.group()
-        elif self.js and (x == "(" and self.arrow_ahead() or (self.is_name() or x == "async") and (self.t[self.p + 1] == "=>" or x == "async" and self.t[self.p + 1] == "(")):
-            self.got("async")
-            if self.t[self.p] == "(":
-                self.group()
-            elif self.is_name():
-                self.p += 1
-            self.need("=>")
-            if self.t[self.p] == "{":
-                self.block()
-            else:
-                self.binary(1)
-        elif x == "(":
-            self.p += 1
-            n = 0 if self.js else self.type_tokens()
-            if n and self.t[self.p + n] == ")" and (n > 1 or self.t[self.p + 2][:1].isalnum() or self.t[self.p + 2] in ("_", "(", "&", "*") or self.t[self.p + 2][:1] in "_\"'"):
-                self.p += n + 1
-                if self.t[self.p] not in (")", ";", ",", "]"):
-                    self.initializer() if self.t[self.p] == "{" else self.unary()
-                return
-            self.expr()
-            self.need(")")
-        elif x == "[" and self.js:
-            self.p += 1
-            while not self.got("]"):
-                if not self.got(","):
-                    self.binary(1)
-                    if self.t[self.p] != "]":
-                        self.need(",")
-        elif x == "{" and self.js:
-            self.p += 1
-            while not self.got("}"):
-                if self.got("..."):
-                    self.binary(1)
-                else:
-                    if self.t[self.p] in ("get", "set", "async", "*") and self.t[self.p + 1] not in (":", ",", "}", "("):
-                        self.p += 1
-                    if self.t[self.p] == "[":
-                        self.group()
-                    elif self.t[self.p] and (self.t[self.p][0].isalnum() or self.t[self.p][0] in "_$\"'"):
-                        self.p += 1
-                    else:
-                        self.fail()
-                    if self.t[self.p] == "(":
-                        self.group()
-                        self.block()
-                    elif self.got(":") or self.got("="):
-                        self.binary(1)
-                if self.t[self.p] != "}":
-                    self.need(",")
-        elif x == "sizeof" and not self.js:
-            self.p += 1
-            if self.t[self.p] == "(":
-                self.group()
-            else:
-                self.unary()
-            return
-        elif self.is_name() or x in ("this", "super") and x in self.words or x[0].isdigit() or x[0] in "\"'`" or x[0] == "." and x[1:2].isdigit():
-            self.p += 1
-            while x[0] in "\"" and self.t[self.p][:1] == '"':
-                self.p += 1
-            while self.cpp and self.t[self.p] == "::":
-                self.p += 2
-            if not self.js and (x[0].isalpha() or x[0] == "_") and self.is_name() and self.t[self.p] not in ("of",):
-                self.fail()
-        else:
-            self.fail()
-        while True:
-            x = self.t[self.p]
-            if x in ("(", "["):
-                self.p += 1
-                close = ")" if x == "(" else "]"
-                while not self.got(close):
-                    self.argument()
-                    if self.t[self.p] != close:
-                        self.need(",")
-            elif x == "." or x == "->" and not self.js or x == "?." and self.js:
-                self.p += 1
-                if self.t[self.p] in ("(", "[") and x == "?.":
-                    continue
-                if not (self.t[self.p] and (self.t[self.p][0].isalpha() or self.t[self.p][0] in "_$")):
-                    self.fail()
-                self.p += 1
-            elif x in ("++", "--") and not (self.js and self.line_start[self.p]):
-                self.p += 1
-            elif self.js and x[:1] == "`":
-                self.p += 1
-            else:
-                return
-
-    def argument(self):
-        n = 0 if self.js else self.type_tokens()
-        if n > 1 and self.t[self.p + n] in (",", ")"):
-            self.p += n
-        else:
-            self.binary(1)
-
-    def arrow_ahead(self) -> bool:
-        i, depth = self.p, 0
-        while i < self.n:
-            depth += (self.t[i] in ("(", "[", "{")) - (self.t[i] in (")", "]", "}"))
-            i += 1
-            if not depth:
-                return self.t[i] == "=>"
-        return False
-
-
 def parses_as(text: str, lang: str) -> bool:
     """Is the text well-formed in the language?  Bare words and numbers count for none."""
     try:
@@ -558,12 +55,21 @@ def parses_as(text: str, lang: str) -> bool:
             return any(not isinstance(x, ast.Expr) for x in tree.body)
         if lang == "rust":
             return rust_error(text) is None
-        BraceParser(text, lang).file()
+        deep_enough(len(text))
+        if lang == "javascript":
+            jsparse.parse(text)
+        else:
+            CParser(text, lang == "cpp").file()
         return True
     except (Malformed, ValueError, SyntaxError, RecursionError, MemoryError, IndexError):
         return False
 
 
+def accepting_languages(text: str) -> list[str]:
+    """All supported languages in which the text is well-formed, likeliest by its tokens first."""
+    return [lang for lang in rank_languages(text) if parses_as(text, lang)]
+
+
 def foreign_language(text: str, own: str = "rust") -> str | None:
     """The likeliest other language in which the text is well-formed; None if there is none."""
     return next((lang for lang in rank_languages(text) if lang != own and parses_as(text, lang)), None)

@@ -8,6 +8,7 @@ checks (a constant without a value, a free function without a body) is accepted.
 from __future__ import annotations
 
 import re
+import sys
 
 
 class Malformed(ValueError):
@@ -101,7 +102,10 @@ def _nested_comments_out(text: str) -> str:
             if end < 0:
                 raise Malformed("unterminated raw string")
             end += 1 + len(m[1])
-            out.append(text[pos:end])
+            if len(m[1]) > 255:
+                raise Malformed("too many # around a raw string")
+            # more than three # are as good as one
+            out.append(text[pos:end] if len(m[1]) < 4 else text[pos : m.start()] + m[0].partition("#")[0] + '""')
             pos = end
         else:
             out.append(text[pos : m.end()])
@@ -116,6 +120,8 @@ def tokens(text: str) -> tuple[list[str], list[str]]:
         text = text[1:]
     if text.startswith("#!") and not re.match(r"#!\s*\[", text):
         text = text.partition("\n")[2]
+    if '####"' in text:
+        text = _nested_comments_out(text)
     toks = _LEX.findall(text)
     kinds = [_KINDS[t] for t in toks]
     if "nested" in kinds:
@@ -1300,6 +1306,15 @@ class Parser:
         self.need("}")
 
 
+#: Calls that may be open at once: some per level of nesting, of which a text has fewer than characters.
+CALLS_A_LEVEL, MOST_CALLS = 12, 2_000_000
+
+
+def deep_enough(levels: int) -> None:
+    """Let a parser go as deep as a text of so many tokens or characters may be nested."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), min(MOST_CALLS, 2000 + CALLS_A_LEVEL * levels)))
+
+
 def examine(text: str) -> tuple[bool, str | None]:
     """(whether there is any code, what keeps the text from being a Rust 2021 source file).
 
@@ -1309,6 +1324,7 @@ def examine(text: str) -> tuple[bool, str | None]:
         kinds, toks = tokens(text)
         if all(x in ("doc", "idoc") for x in kinds):
             return False, None
+        deep_enough(len(toks))
         Parser(kinds, toks).file()
     except Malformed as e:
         return True, str(e)[:120]

@@ -1,5 +1,6 @@
 import pytest
 
+from grammar_cases import BROKEN, VALID
 from millrace.llm import foreign, rustparse, unparsed
 
 GOOD = [
@@ -66,3 +67,40 @@ def test_operator(spark):
     assert rates == {("conversion_results", "proj"): (2, 1, 0), ("conversion_results", "unknown"): (1, 0, 1), ("translation_results", "proj"): (1, 1, 0)}
     assert unparsed.unparsed_records(conv.limit(0), trans.limit(0)).count() == 0
     assert unparsed.failure_rates(conv.limit(0), trans.limit(0), entries).count() == 0
+
+
+@pytest.mark.parametrize("lang,text", [(k, t) for k, v in VALID.items() for t in v])
+def test_foreign_accepts(lang, text):
+    assert foreign.parses_as(text, lang)
+
+
+@pytest.mark.parametrize("lang,text", [(k, t) for k, v in BROKEN.items() for t in v])
+def test_foreign_rejects(lang, text):
+    assert not foreign.parses_as(text, lang)
+
+
+def test_nested_as_deep_as_it_gets():
+    assert rustparse.error_in("fn f() { " + "(" * 5000 + "1" + ")" * 5000 + "; }") is None
+    assert rustparse.error_in("fn f() " + "{" * 8000 + "}" * 8000) is None
+    assert foreign.parses_as("int f(void) { return " + "(" * 3000 + "1" + ")" * 3000 + "; }", "c")
+    assert foreign.parses_as("x = " + "[" * 3000 + "]" * 3000, "javascript")
+
+
+@pytest.mark.parametrize("text,good", [('fn f() { r####"a "## b"####; }', True), ('fn f() { br#####"a"#####; r"x"; }', True), ('fn f() { r####"a"###; }', False), ('// r####"\nfn f() {}', True), ('fn f() { "r####"; }', True)])
+def test_raw_strings(text, good):
+    assert (rustparse.error_in(text) is None) == good
+
+
+def test_all_grammars_are_tried():
+    assert unparsed.verdict("int f(int x) { return x; }")[2] == ["c", "cpp"]
+    assert unparsed.verdict("fn f() {}")[:2] == ("ok", "rust")
+    assert unparsed.verdict("{}")[0] == "foreign"
+
+
+def test_one_verdict_for_an_id(spark):
+    conv = spark.createDataFrame([("a", "s", "fn f() {}"), ("a", "s", "fn f( {"), ("b", "s", None), ("b", "s", "int f(void) { return 1; }")], "id string, source_id string, converted_code string")
+    none = conv.limit(0).withColumnRenamed("converted_code", "rust_code")
+    assert {r.record_id: r.verdict for r in unparsed.unparsed_records(conv, none).collect()} == {"a": "corrupt", "b": "foreign"}
+    entries = spark.createDataFrame([], "id string, project string, language string")
+    r = unparsed.failure_rates(conv, none, entries).first()
+    assert (r.n_records, r.n_foreign, r.n_corrupt) == (2, 1, 1)
