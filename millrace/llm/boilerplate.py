@@ -1,28 +1,33 @@
 """Page boilerplate and main content (problem 7).
 
-Method: site template removal.  A page's text is cut into elements (a code block
-is one element, any other line is one); element hashes are counted per host in
-Spark and elements recurring across many pages of a host are deleted.
+Method: site template removal.  A page's text is cut into elements (a code block is one
+element, any other line is one).  Elements are hashed as they stand and as templates:
+with numbers and camel-case names open, and a short line also by its first and its last
+words and by the parts it is put together from (a menu, a breadcrumb).  The hashes are
+counted per host in Spark, and what recurs across many pages of a host is deleted.  A
+run of short lines below a deleted one is the subtree of that head and goes with it, as
+the changing teasers under "Related".
 
 Many sites are seen once, where nothing can recur.  The deletions on sites with
-several pages therefore label the lines of the corpus: for each line shape, and
-each shape with one word left open, the share of occurrences that the template
-removal deleted is counted over all such sites, and a shape that is mostly
-deleted where it can be judged counts as template everywhere.
+several pages therefore label the templates of the corpus: a template that was mostly
+deleted where it could be judged is deleted everywhere.
 
-Around what is left, structure decides.  Own text is made of sentences, code,
-and the page's own title; short lines without closing punctuation (link lists,
-teasers, buttons) belong to the site.  Pages on which nothing but a title and a
-refusal is left have no own text.
+Own text is what is left of sentences and code, the page's own title, and short lines
+between them.  What is left before the first or after the last of them, with no
+template that vouches for it, is no part of the body.  Pages on which nothing but a
+title and a refusal is left have no own text.
 
 Defined results: null and empty contents give no lines; a null or broken url
 makes the page a site of its own; a null title is the line that the breadcrumb ends
-in, or without one the last of three words or more before the first sentence.  Repeated page ids give repeated rows only once.
+in, or without one the last of three words or more before the first sentence.  Repeated
+page ids give repeated rows only once; if their texts differ, one of them is judged (the
+one with the least hash).
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -58,13 +63,19 @@ def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s) - (1 << 63)
 
 
-def open_shapes(s: str) -> list[int]:
-    """Hashes of a shape and of it with one word left open."""
+def templates(kind: str, s: str) -> list[int]:
+    """Hashes of an element of shape ``s``: as it stands, then its templates."""
     words = s.split()
-    out = [_hash(s)]
-    if 3 <= len(words) <= 14:
-        out += [_hash(" ".join((*words[:i], "_", *words[i + 1 :]))) for i in range(len(words))]
-    return out
+    out = [s]
+    if kind in "IN":
+        if kind == "N":
+            parts = [p for p in _SEPARATED.split(s) if p]
+            out += [f"first {min(3, len(parts))} {parts[0]}", *("part " + p for p in parts)]
+        if len(words) >= 4:
+            out += ["head " + " ".join(words[:2]), "tail " + " ".join(words[-2:])]
+    elif kind == "S" and len(words) >= 6:
+        out += ["head " + " ".join(words[:4]), "tail " + " ".join(words[-3:]), "ends " + " ".join(words[:2] + words[-2:])]
+    return [_hash(x) for x in out]
 
 
 def title_of(title: str | None) -> str | None:
@@ -130,80 +141,133 @@ def page_elements(title: str | None, text: str) -> list[tuple[int, str, str]]:
     return out
 
 
-def own_lines(lines: list[tuple[int, str, bool, int, bool]], titled: bool) -> set[int]:
+def own_lines(lines: list[tuple[int, str, bool, int, bool, bool]], titled: bool) -> set[int]:
     """Numbers of the lines that are the page's own text.
 
-    ``lines``: (line_no, kind, template, words, wide) in order; wide lines stand on
-    many pages of the corpus.
+    ``lines``: (line_no, kind, template, words, wide, exact) in order; wide lines stand on
+    many pages of the corpus, exact ones are templates as they stand, with no word open.
     """
-    own = {no for no, kind, template, _, _ in lines if kind in "CS" and not template}
+    own = {no for no, kind, template, *_ in lines if kind in "CS" and not template}
     if not own:
         return set()
-    body = [(kind, wide) for no, kind, _, _, wide in lines if no in own]
+    body = [(kind, wide) for no, kind, _, _, wide, _ in lines if no in own]
     if len(body) <= REFUSAL_LINES and all(kind == "S" and wide for kind, wide in body):
         return set()
-    first = min(own)
-    titles = {no for no, kind, _, _, _ in lines if kind == "T"}
+    first, last = min(own), max(own)
+    titles = {no for no, kind, *_ in lines if kind == "T"}
     if not titled:
-        before = [no for no, kind, template, w, _ in lines if no < first and kind == "I" and not template and w >= 3]
+        before = [no for no, kind, _, w, _, exact in lines if no < first and kind == "I" and not exact and w >= 3]
         titles |= set(before[-1:])
-    return own | titles
-
-
-def page_lines(pages: DataFrame) -> DataFrame:
-    """page_id, site, line_no, kind, words, titled, element, shapes of each non-blank line."""
-    names = ["page_id", "site", "line_no", "kind", "words", "titled", "element", "shapes"]
-    types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
+    # short lines: those in the subtree of a deleted line go with it, the rest within the body stays
+    within, below, ends = set(), False, None
+    for no, kind, template, *_ in lines:
+        if kind in "IN":
+            below = template or below and no == ends
+            ends = no + 1
+            if not below and first < no < last:
+                within.add(no)
+        else:
+            below = kind == "S" and template
+            ends = no + 1 if below else None
+    return own | titles | within
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
+    """One row for each page: page_id, site, titled, line numbers, kinds, numbers of words, hashes of each line, marks.
+
+    ``marks`` are the hashes that are counted on the site: all of a short line, the first of any other.
+    """
+    names = ["page_id", "site", "titled", "nos", "kinds", "words", "hashes", "marks"]
+    longs = pa.list_(pa.int64())
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.int32()), pa.list_(longs), longs]
 
     def run(batches):
         for b in batches:
             rows = []
             for pid, site, title, text in zip(*(b.column(i).to_pylist() for i in range(4))):
                 titled = title_of(title) is not None or crumb_of(text.split("\n")) is not None
-                for no, kind, s in page_elements(title, text):
-                    rows.append((pid, site, no, kind, len(s.split()), titled, _hash(s), [] if kind == "C" else open_shapes(s)))
-            for k in range(0, len(rows), 20000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 20000]), types)], names)
+                found = page_elements(title, text)
+                known: dict[tuple[str, str], list[int]] = {}
+                hashes = []
+                marks: set[int] = set()
+                for _, kind, s in found:
+                    h = known.get((kind, s))
+                    if h is None:
+                        h = known[kind, s] = templates(kind, s)
+                        marks.update(h if kind in "IN" else h[:1])
+                    hashes.append(h)
+                rows.append((pid, site, titled, [x[0] for x in found], "".join(x[1] for x in found), [len(x[2].split()) for x in found], hashes, list(marks)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     site = F.when(F.coalesce(host, F.lit("")) == "", F.concat(F.lit("page "), F.col("page_id").cast("string"))).otherwise(host)
-    kept = pages.where("main_content IS NOT NULL AND main_content <> ''").dropDuplicates(["page_id"]).select(F.col("page_id").cast("long").alias("page_id"), site.alias("site"), "title", "main_content")
-    return kept.mapInArrow(sliced(run), "page_id long, site string, line_no int, kind string, words int, titled boolean, element long, shapes array<long>")
+    kept = pages.where("main_content IS NOT NULL AND main_content <> '' AND page_id IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), F.xxhash64(site).alias("site"), F.col("title").cast("string").alias("title"), F.col("main_content").cast("string").alias("main_content"), F.xxhash64("url", "title", "main_content").alias("copy"))
+    # texts are not shuffled: only rows of ids that do recur are sorted out
+    repeated = materialise(kept.groupBy("page_id").agg(F.count("*").alias("n"), F.min("copy").alias("copy")).where("n > 1"), "repeated-pages")
+    if not repeated.isEmpty():
+        once = kept.join(repeated.select("page_id"), "page_id", "left_anti")
+        again = kept.join(repeated.select("page_id", "copy"), ["page_id", "copy"], "left_semi").dropDuplicates(["page_id"])
+        kept = once.unionByName(again)
+    return kept.select("page_id", "site", "title", "main_content").mapInArrow(sliced(run), "page_id long, site long, titled boolean, nos array<int>, kinds string, words array<int>, hashes array<array<long>>, marks array<long>")
+
+
+def _hits(marks: DataFrame, table: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """page_id and the hashes of ``marks`` (page_id, site, hash) that are in ``table``."""
+    # a group is one page
+    return marks.join(table, keys, "left_semi").groupBy("page_id").agg(F.collect_list("hash").alias(name))
 
 
 def boilerplate_lines(pages: DataFrame) -> DataFrame:
     """page_id, line_no of each non-blank line that is not the page's own text."""
-    lines = materialise(page_lines(pages), "page-lines")
-    sizes = lines.select("site", "page_id").distinct().groupBy("site").agg(F.count("*").alias("n_pages"))
-    # titles and code lines count as elements once a page
-    counts = lines.select("site", "element", "page_id").distinct().groupBy("site", "element").agg(F.count("*").alias("n_with"))
-    template = counts.where(F.col("n_with") >= LEAST_PAGES).join(sizes, "site").where(F.col("n_with") >= F.col("n_pages") * LEAST_SHARE).select("site", "element", F.lit(True).alias("on_site"))
+    spark = pages.sparkSession
+    rows = materialise(page_rows(pages), "page-rows")
+    sizes = rows.groupBy("site").agg(F.count("*").alias("n_pages"))
+    marks = rows.select("page_id", "site", F.explode("marks").alias("hash"))
+    counts = materialise(marks.groupBy("site", "hash").agg(F.count("*").alias("n_with")), "mark-counts")
+    template = counts.where(F.col("n_with") >= LEAST_PAGES).join(sizes, "site").where(F.col("n_with") >= F.col("n_pages") * LEAST_SHARE).select("site", "hash")
     n_pages = sizes.agg(F.sum("n_pages")).first()[0] or 0
-    everywhere = counts.groupBy("element").agg(F.sum("n_with").alias("n")).where(F.col("n") >= max(2.0, REFUSAL_SHARE * n_pages)).select("element", F.lit(True).alias("wide"))
-    marked = lines.join(template, ["site", "element"], "left").join(everywhere, "element", "left").join(sizes.where(F.col("n_pages") >= JUDGES).select("site", F.lit(True).alias("judge")), "site", "left")
-    marked = materialise(marked.select("page_id", "line_no", "kind", "words", "titled", "shapes", F.coalesce("wide", F.lit(False)).alias("wide"), F.coalesce("on_site", F.lit(False)).alias("on_site"), F.coalesce("judge", F.lit(False)).alias("judge")), "marked-lines")
-    seen = marked.where("judge AND kind <> 'C' AND kind <> 'T'").select(F.explode("shapes").alias("shape"), F.col("on_site").cast("int").alias("hit"))
-    model = seen.groupBy("shape").agg(F.sum("hit").alias("hits"), F.count("*").alias("n")).where((F.col("n") >= LEAST_JUDGED) & (F.col("hits") >= F.col("n") * DELETED_SHARE)).select("shape")
-    # a line is template if a shape of it is
-    asked = marked.where("NOT on_site AND kind <> 'C' AND kind <> 'T'").select("page_id", "line_no", F.explode("shapes").alias("shape"))
-    by_shape = asked.join(model, "shape", "left_semi").select("page_id", "line_no").distinct().withColumn("by_shape", F.lit(True))
-    judged = marked.join(by_shape, ["page_id", "line_no"], "left").select("page_id", "titled", F.struct("line_no", "kind", (F.col("on_site") | F.coalesce("by_shape", F.lit(False))).alias("template"), "words", "wide").alias("line"))
-    # a group is one page
-    grouped = judged.groupBy("page_id").agg(F.max("titled").alias("titled"), F.array_sort(F.collect_list("line")).alias("lines"))
+    # at most marks of a page / REFUSAL_SHARE rows
+    wide = counts.groupBy("hash").agg(F.sum("n_with").alias("n")).where(F.col("n") >= max(2.0, REFUSAL_SHARE * n_pages)).select("hash").toPandas()
+    everywhere = spark.sparkContext.broadcast(frozenset(wide["hash"].tolist()))
+    judges = sizes.select("site", (F.col("n_pages") >= JUDGES).alias("judge"))
+    judged = materialise(rows.join(_hits(marks, template, ["site", "hash"], "on_site"), "page_id", "left").join(judges, "site").select("page_id", "judge", "titled", "nos", "kinds", "words", "hashes", "on_site"), "judged-pages")
+
+    def vote(batches):
+        """(hash, times seen, times deleted) on sites that judge, added up for each batch."""
+        for b in batches:
+            seen: Counter = Counter()
+            deleted: Counter = Counter()
+            for kinds, hashes, hits in zip(*(b.column(i).to_pylist() for i in range(3))):
+                hits = frozenset(hits or ())
+                for kind, hs in zip(kinds, hashes):
+                    if kind in "INS":
+                        seen.update(hs)
+                        if any(h in hits for h in (hs if kind != "S" else hs[:1])):
+                            deleted.update(hs)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64()), pa.array([deleted[h] for h in seen], pa.int64())], ["hash", "n", "hits"])
+
+    votes = judged.where("judge").select("kinds", "hashes", "on_site").mapInArrow(sliced(vote), "hash long, n long, hits long")
+    model = votes.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where((F.col("n") >= LEAST_JUDGED) & (F.col("hits") >= F.col("n") * DELETED_SHARE)).select("hash")
+    asked = judged.select("page_id", F.explode(F.array_except(F.array_distinct(F.flatten("hashes")), F.coalesce("on_site", F.array().cast("array<long>")))).alias("hash"))
+    known = judged.join(_hits(asked, model, ["hash"], "learned"), "page_id", "left")
 
     def decide(batches):
         for b in batches:
-            page, no = [], []
-            for pid, titled, ls in zip(*(b.column(i).to_pylist() for i in range(3))):
-                ls = [(x["line_no"], x["kind"], x["template"], x["words"], x["wide"]) for x in ls]
-                own = own_lines(ls, titled)
-                for x in ls:
-                    if x[0] not in own:
-                        page.append(pid)
-                        no.append(x[0])
-            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(no, pa.int64())], ["page_id", "line_no"])
-
-    return grouped.select("page_id", "titled", "lines").mapInArrow(sliced(decide), "page_id long, line_no long")
+            page, out = [], []
+            for pid, titled, nos, kinds, words, hashes, on_site, learned in zip(*(b.column(i).to_pylist() for i in range(8))):
+                on_site, learned = frozenset(on_site or ()), frozenset(learned or ())
+                lines = []
+                for no, kind, w, hs in zip(nos, kinds, words, hashes):
+                    gone = any(h in on_site for h in (hs if kind in "IN" else hs[:1])) or kind in "INS" and any(h in learned for h in hs)
+                    lines.append((no, kind, gone, w, hs[0] in everywhere.value, hs[0] in on_site or hs[0] in learned))
+                own = own_lines(lines, titled)
+                drop = [x[0] for x in lines if x[0] not in own]
+                page += [pid] * len(drop)
+                out += drop
+            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(out, pa.int64())], ["page_id", "line_no"])
+
+    return known.select("page_id", "titled", "nos", "kinds", "words", "hashes", "on_site", "learned").mapInArrow(sliced(decide), "page_id long, line_no long")
 
 
 def main_content(pages: DataFrame) -> DataFrame:
