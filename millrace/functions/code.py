@@ -84,8 +84,13 @@ def c_target(text: Column) -> Column:
 
 
 def strip_line_numbers(text: Column) -> Column:
-    """Text without the ``12: `` or ``12 | `` that some tools put before lines."""
-    return F.trim(F.regexp_replace(text, r"(?dm)^[ \t]*\d+[ \t]*[:|][ \t]?", ""))
+    """Text without the numbers, and the blanks behind them, that some tools put before lines; trimmed."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?dm)^\s*\d+\s+", ""), r"^\s+|\s+\z", "")
+
+
+def numbered_lines(text: Column) -> Column:
+    """Text with the number of each line before it."""
+    return F.array_join(F.transform(F.split(text, "\n", -1), lambda x, i: F.concat(F.lit("   "), (i + 1).cast("string"), F.lit(" "), x)), "\n")
 
 
 def signature(return_type: Column, name: Column, parameters: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import code as C
 from millrace.operators.web import _first_of, has
 from millrace.runtime import table
 
@@ -165,9 +166,15 @@ def rust_code_of(response: Column) -> Column:
     return F.coalesce(F.get_json_object(trimmed, "$.rust_code"), F.get_json_object(trimmed, "$.choices[0].message.content"), F.get_json_object(unfenced, "$.rust_code"), fenced, unescaped, generic, response)
 
 
+def answer_json(response: Column) -> Column:
+    """What of an answer may be JSON: a fenced block of JSON, else all of it; without line numbers."""
+    fenced = F.regexp_extract(response, r"(?s)```json(.*?)```", 1)
+    return C.strip_line_numbers(F.when(response.rlike(r"(?s)```json.*?```"), fenced).otherwise(response))
+
+
 def answer_confidence(response: Column) -> Column:
-    """0.8 for an answer in JSON, 0.6 for one in another form."""
-    return F.when(F.get_json_object(F.trim(response), "$.rust_code").isNotNull(), 0.8).otherwise(0.6)
+    """0.8 for an answer that is JSON of any kind, fenced or not; 0.6 for one in another form."""
+    return F.when(F.try_parse_json(answer_json(response)).isNotNull(), 0.8).otherwise(0.6)
 
 
 def _conv(s, d):
@@ -227,5 +234,5 @@ ORACLE_SQL = {
     "json_answers": r"""WITH a AS (SELECT id, converted_code AS r, trim(converted_code) AS t, trim(regexp_replace(regexp_replace(trim(converted_code), '^```(?:json)?', ''), '```\z', '')) AS u FROM (SELECT DISTINCT ON (id) * FROM conversion_results))
         SELECT id, coalesce(CASE WHEN json_valid(t) THEN t->>'$.rust_code' END, CASE WHEN json_valid(t) THEN t->>'$.choices[0].message.content' END, CASE WHEN json_valid(u) THEN u->>'$.rust_code' END,
             nullif(regexp_extract(r, '(?s)```rust\n?(.*?)\n```', 1), ''), replace(replace(replace(replace(nullif(regexp_extract(r, '(?s)"rust_code"\s*:\s*"((?:[^"\\]|\\.)*)', 1), ''), '\n', chr(10)), '\t', chr(9)), '\"', '"'), '\\', '\'),
-            nullif(regexp_extract(r, '(?s)```\w*\n(.*?)\n```', 1), ''), r) AS rust_code, CASE WHEN json_valid(t) AND t->>'$.rust_code' IS NOT NULL THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence FROM a""",
+            nullif(regexp_extract(r, '(?s)```\w*\n(.*?)\n```', 1), ''), r) AS rust_code, CASE WHEN json_valid(regexp_replace(regexp_replace(CASE WHEN regexp_matches(r, '(?s)```json.*?```') THEN regexp_extract(r, '(?s)```json(.*?)```', 1) ELSE r END, '(?m)^\s*\d+\s+', '', 'g'), '^\s+|\s+\z', '', 'g')) THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence FROM a""",
 }

@@ -73,6 +73,12 @@ def around(text: Column, line: Column, context: int = 5) -> Column:
     return F.array_join(F.transform(picked, lambda x, i: F.concat(F.lpad((first + i).cast("string"), 4, " "), F.lit(": "), x)), "\n")
 
 
+def error_location(rows: DataFrame, message: str, text: str, context: int = 3) -> DataFrame:
+    """Rows with ``line``, the first place their message names, and ``context``, the numbered lines around it."""
+    placed = rows.withColumn("line", error_line(F.col(message)))
+    return placed.withColumn("context", F.when(F.col("line").isNotNull(), around(F.col(text), F.col("line"), context)))
+
+
 def include_lines(entries: DataFrame) -> DataFrame:
     """id, line, include: where each include stands."""
     lines = entries.where("code IS NOT NULL").select("id", F.posexplode(line_array(F.col("code"))).alias("pos", "text"))
@@ -108,8 +114,9 @@ QUERIES = {
     "line_insert": lambda s, d: _code(s, d).select("id", insert_at(F.col("code"), 2, "new line").alias("text")),
     "line_delete": lambda s, d: _code(s, d).select("id", delete_range(F.col("code"), 2, 4).alias("text")),
     "line_count": lambda s, d: _code(s, d).select("id", C.line_count(F.col("code")).cast("long").alias("n_lines")),
-    "line_unnumbered": lambda s, d: _code(s, d).select("id", C.strip_line_numbers(F.concat(F.lit("12: a\n 3 | b\n"), F.col("code"))).alias("text")),
+    "line_unnumbered": lambda s, d: _code(s, d).select("id", C.strip_line_numbers(C.numbered_lines(F.col("code"))).alias("text")),
     "line_around": lambda s, d: _code(s, d).select("id", around(F.col("code"), F.lit(10)).alias("context")),
+    "line_error_location": lambda s, d: error_location(table(s, d, "conversion_results").dropDuplicates(["id"]).select("id", "original_code", F.concat(F.lit("src/x.rs:"), (F.length("original_code") % 40 + 1).cast("string"), F.lit(":5")).alias("m")), "m", "original_code").select("id", "line", "context"),
     "line_manifest": lambda s, d: table(s, d, "conversion_results").select("id", add_dependency(F.col("converted_code"), "libc", "0.2").alias("text")).distinct(),
     "window_includes": lambda s, d: include_lines(table(s, d, "code_entries")),
     "window_next_start": lambda s, d: next_starts(table(s, d, "code_entries")),
@@ -125,7 +132,10 @@ ORACLE_SQL = {
     "line_insert": f"SELECT id, array_to_string(l[1:1] || ['new line'] || l[2:], chr(10)) AS text FROM (SELECT id, {_L} AS l FROM code_entries)",
     "line_delete": f"SELECT id, CASE WHEN len(l) >= 4 THEN array_to_string(l[1:1] || l[5:], chr(10)) END AS text FROM (SELECT id, {_L} AS l FROM code_entries)",
     "line_count": "SELECT id, (CASE WHEN code = '' THEN 0 ELSE length(code) - length(replace(code, chr(10), '')) + CASE WHEN ends_with(code, chr(10)) THEN 0 ELSE 1 END END)::BIGINT AS n_lines FROM code_entries",
-    "line_unnumbered": "SELECT id, trim(regexp_replace('12: a' || chr(10) || ' 3 | b' || chr(10) || code, '(?m)^[ \\t]*\\d+[ \\t]*[:|][ \\t]?', '', 'g')) AS text FROM code_entries",
+    "line_unnumbered": f"SELECT id, regexp_replace(regexp_replace(array_to_string(list_transform(range(1, len(l) + 1), lambda i: '   ' || i || ' ' || l[i]), chr(10)), '(?m)^\\s*\\d+\\s+', '', 'g'), '^\\s+|\\s+\\z', '', 'g') AS text FROM (SELECT id, string_split(code, chr(10)) AS l FROM code_entries WHERE code IS NOT NULL)",
+    "line_error_location": "SELECT id, line, array_to_string(list_transform(range(greatest(line - 3, 1), least(line + 3, len(l)) + 1), lambda i: lpad(i::VARCHAR, 4, ' ') || ': ' || l[i]), chr(10)) AS context FROM (SELECT DISTINCT id, (length(original_code) % 40 + 1)::INT AS line, string_split(regexp_replace(original_code, '\\n\\z', ''), chr(10)) AS l FROM conversion_results)",
+    "line_manifest": r"""SELECT DISTINCT id, CASE WHEN regexp_matches(converted_code, '(?m)^\s*libc\s*=') THEN converted_code WHEN regexp_matches(converted_code, '(?m)^\[dependencies\]\s*$') THEN regexp_replace(converted_code, '(?m)^(\[dependencies\][ \t\r]*)$', '\1' || chr(10) || 'libc = "0.2"', 'g')
+        ELSE converted_code || chr(10) || '[dependencies]' || chr(10) || 'libc = "0.2"' || chr(10) END AS text FROM conversion_results""",
     "line_around": f"SELECT id, array_to_string(list_transform(range(5, least(15, len(l)) + 1), lambda i: lpad(i::VARCHAR, 4, ' ') || ': ' || l[i]), chr(10)) AS context FROM (SELECT id, {_L} AS l FROM code_entries)",
     "window_includes": f"SELECT id, line::INT AS line, regexp_extract(text, {_INCL}, 1) AS include FROM (SELECT id, unnest(l) AS text, unnest(range(1, len(l) + 1)) AS line FROM (SELECT id, {_L} AS l FROM code_entries)) WHERE regexp_extract(text, {_INCL}, 1) <> ''",
     "window_next_start": f"""SELECT id, line::INT AS start_line, coalesce(lead(line) OVER (PARTITION BY id ORDER BY line) - 1, n)::INT AS end_line FROM (SELECT id, len(l) AS n, unnest(l) AS text, unnest(range(1, len(l) + 1)) AS line

@@ -150,15 +150,16 @@ class MetadataStore:
         self._swap("code_entries", joined.withColumns(new))
         return missing
 
-    def delete_entries(self, ids: DataFrame) -> None:
-        """Entries with their analyses, conversions and vectors."""
+    def delete_entries(self, ids: DataFrame, vectors: bool = True) -> None:
+        """Entries with their analyses, conversions and, unless told otherwise, vectors."""
         ids = ids.select("id").distinct()
-        for name, key in (("analysis_results", "code_id"), ("conversion_results", "source_id"), ("vectors", "id"), ("code_entries", "id")):
+        for name, key in (("analysis_results", "code_id"), ("conversion_results", "source_id"), *([("vectors", "id")] if vectors else []), ("code_entries", "id")):
             t = self.read(name)
             self._swap(name, t.join(ids.withColumnRenamed("id", key), key, "left_anti"))
 
     def clear_project(self, project: str) -> None:
-        self.delete_entries(self.read("code_entries").where(F.col("project") == project))
+        """Entries of a project with their analyses and conversions; vectors stay."""
+        self.delete_entries(self.read("code_entries").where(F.col("project") == project), vectors=False)
 
     def store_facts(self, facts: DataFrame, kind: str, project: str) -> None:
         """Extracted facts (columns name, file, result) as pairs of entry and analysis."""
