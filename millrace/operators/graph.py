@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.code import shell_words
 from millrace.operators import nested
 from millrace.operators.paths import parent
-from millrace.runtime import materialise, table
+from millrace.runtime import discard, materialise, table
 
 
 def include_graph(relations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -42,47 +42,46 @@ def in_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("relation_id", "folder").agg(F.countDistinct("needs").alias("n_needs"))
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, keys: list[str], failed: DataFrame | None = None, rounds: int = 1000) -> DataFrame:
+def topological_levels(nodes: DataFrame, edges: DataFrame, keys: list[str], failed: DataFrame | None = None) -> DataFrame:
     """keys, level, outcome of every node of ``nodes`` (keys = group and node columns).
 
     ``edges`` has the keys and ``needs``.  A node is ready when all it needs are
     done; what failed (same keys) is processed but frees nothing.  Nodes never ready,
     as in a cycle or behind a failure, come out with level null as ``blocked``.  Each
-    round is one join over what is left; tables are written between rounds.
+    round takes the ready nodes off what waits for them and writes the state once; it
+    ends when no node is ready, however deep the graph.
     """
     group, node = keys
-    left = materialise(edges.select(group, F.col(node).alias("n"), "needs").distinct(), "left")
-    waiting = nodes.select(group, F.col(node).alias("n")).distinct()
-    bad = failed.select(group, F.col(node).alias("n")).withColumn("bad", F.lit(True)) if failed is not None else None
-    done = None
-    for level in range(rounds):
-        ready = waiting.join(left.select(group, "n").distinct(), [group, "n"], "left_anti").select(group, "n", F.lit(level).alias("level"))
-        ready = ready.join(bad, [group, "n"], "left") if bad is not None else ready.withColumn("bad", F.lit(None).cast("boolean"))
-        ready = materialise(ready.select(group, "n", "level", F.coalesce("bad", F.lit(False)).alias("bad")), "ready")
-        if ready.isEmpty():
-            break
-        done = ready if done is None else done.unionAll(ready)
-        waiting = materialise(waiting.join(ready.select(group, "n"), [group, "n"], "left_anti"), "waiting")
-        freed = ready.where("NOT bad").select(group, F.col("n").alias("needs"))
-        left = materialise(left.join(freed, [group, "needs"], "left_anti"), "left")
-    blocked = waiting.select(group, "n", F.lit(None).cast("int").alias("level"), F.lit("blocked").alias("outcome"))
-    if done is None:
-        return blocked.withColumnRenamed("n", node)
-    out = done.select(group, "n", "level", F.when(F.col("bad"), "failed").otherwise("done").alias("outcome")).unionAll(blocked)
-    return out.withColumnRenamed("n", node)
-
-
-def reachable(edges: DataFrame, start: DataFrame, group: str, depth: int = 10) -> DataFrame:
-    """group, root, node, hops: what each root reaches within ``depth`` steps, by the shortest way."""
+    step = materialise(edges.select(group, F.col(node).alias("n"), "needs").distinct(), "steps")
+    waits = step.groupBy(group, "n").agg(F.count("*").alias("waits"))
+    bad = (failed.select(group, F.col(node).alias("n")).distinct() if failed is not None else nodes.select(group, F.col(node).alias("n")).limit(0)).withColumn("bad", F.lit(True))
+    start = nodes.select(group, F.col(node).alias("n")).distinct().join(waits, [group, "n"], "left").join(bad, [group, "n"], "left")
+    state = materialise(start.select(group, "n", F.coalesce("waits", F.lit(0)).alias("waits"), F.coalesce("bad", F.lit(False)).alias("bad"), F.when(F.coalesce("waits", F.lit(0)) == 0, 0).alias("level")), "state")
+    level = 0
+    while not state.where(F.col("level") == level).isEmpty():
+        freed = state.where((F.col("level") == level) & ~F.col("bad")).select(group, F.col("n").alias("needs"))
+        less = step.join(freed, [group, "needs"], "left_semi").groupBy(group, "n").agg(F.count("*").alias("less"))
+        level += 1
+        left = F.col("waits") - F.coalesce("less", F.lit(0))
+        new = materialise(state.join(less, [group, "n"], "left").select(group, "n", left.alias("waits"), "bad", F.when((left == 0) & F.col("level").isNull(), level).otherwise(F.col("level")).alias("level")), "state")
+        discard(state)
+        state = new
+    outcome = F.when(F.col("level").isNull(), "blocked").when(F.col("bad"), "failed").otherwise("done")
+    return state.select(group, F.col("n").alias(node), "level", outcome.alias("outcome"))
+
+
+def reachable(edges: DataFrame, start: DataFrame, group: str, depth: int | None = None) -> DataFrame:
+    """group, root, node, hops: what each root reaches, by the shortest way; within ``depth`` steps if that is given."""
     step = materialise(edges.select(group, F.col("folder").alias("node"), "needs").distinct(), "steps")
     seen = materialise(start.select(group, F.col("folder").alias("root"), F.col("folder").alias("node"), F.lit(0).alias("hops")).distinct(), "seen")
-    front = seen
-    for hop in range(1, depth + 1):
+    front, hop = seen, 0
+    while depth is None or hop < depth:
+        hop += 1
         nxt = front.join(step, [group, "node"]).select(group, "root", F.col("needs").alias("node"), F.lit(hop).alias("hops")).distinct()
         front = materialise(nxt.join(seen.select(group, "root", "node"), [group, "root", "node"], "left_anti"), "front")
         if front.isEmpty():
             break
-        seen = materialise(seen.unionAll(front), "seen")
+        seen = seen.unionAll(front)
     return seen
 
 
@@ -120,6 +119,12 @@ def _levels(s, d):
     return topological_levels(nodes, edges, ["relation_id", "folder"])
 
 
+def _failed_levels(s, d):
+    """Levels where every folder whose name ends in r fails."""
+    nodes, edges = _folders(s, d)
+    return topological_levels(nodes, edges, ["relation_id", "folder"], nodes.where(F.endswith("folder", F.lit("r"))))
+
+
 def _edge_counts(s, d):
     _, edges = _graph(s, d)
     return edges.groupBy("relation_id").agg(F.count("*").alias("n_edges"), F.count_if(F.col("include_kind") == "local").alias("n_local"))
@@ -144,6 +149,7 @@ QUERIES = {
     "graph_in_degrees": lambda s, d: in_degrees(_folders(s, d)[1]),
     "graph_levels": _levels,
     "graph_outcome": lambda s, d: _levels(s, d).groupBy("outcome").agg(F.count("*").alias("n_folders")),
+    "graph_failed": _failed_levels,
     "graph_reachable": _reach,
     "agg_include_edges": _edge_counts,
     "top_needed": _top_needed,
@@ -175,7 +181,10 @@ ORACLE_SQL = {
     "graph_in_degrees": f"{_LIFTED} SELECT relation_id, folder, count(*) AS n_needs FROM g GROUP BY ALL",
     "graph_levels": f"{_CLOSURE} SELECT * FROM o",
     "graph_outcome": f"{_CLOSURE} SELECT outcome, count(*) AS n_folders FROM o GROUP BY 1",
-    "graph_reachable": f"""{_CLOSURE}, q AS (SELECT relation_id, folder AS root, folder AS node, 0 AS hops FROM d UNION SELECT q.relation_id, q.root, g.needs, q.hops + 1 FROM q JOIN g ON g.relation_id = q.relation_id AND g.folder = q.node WHERE q.hops < 10)
+    "graph_failed": f"""{_CLOSURE}, x AS (SELECT relation_id, folder FROM b UNION SELECT w.relation_id, w.folder FROM w WHERE ends_with(w.needs, 'r')),
+        y AS (SELECT d.relation_id, d.folder, x.folder IS NOT NULL AS blocked FROM d LEFT JOIN x USING (relation_id, folder))
+        SELECT y.relation_id, y.folder, CASE WHEN NOT blocked THEN o.level END AS level, CASE WHEN blocked THEN 'blocked' WHEN ends_with(y.folder, 'r') THEN 'failed' ELSE 'done' END AS outcome FROM y JOIN o USING (relation_id, folder)""",
+    "graph_reachable": f"""{_CLOSURE}, q AS (SELECT relation_id, folder AS root, folder AS node, 0 AS hops FROM d UNION SELECT q.relation_id, q.root, g.needs, q.hops + 1 FROM q JOIN g ON g.relation_id = q.relation_id AND g.folder = q.node WHERE q.hops < 100)
         SELECT relation_id, root, node, min(hops)::INT AS hops FROM q GROUP BY ALL""",
     "agg_include_edges": f"{_NODES} SELECT relation_id, count(*) AS n_edges, count(*) FILTER (include_kind = 'local') AS n_local FROM e GROUP BY 1",
     "top_needed": f"""{_RESOLVED} SELECT relation_id, resolved, n_users, position FROM (SELECT relation_id, resolved, count(*) AS n_users, row_number() OVER (PARTITION BY relation_id ORDER BY count(*) DESC, resolved)::INT AS position

@@ -56,7 +56,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/millrace-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that no plan reads any more, as those of an earlier round."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path is not None:
+            _written[:] = [(s, p) for s, p in _written if p != path]
+            _forget(df.sparkSession, path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
