@@ -23,14 +23,14 @@ GLOBAL_NAME = r"(?m)^(?:extern\s+)?(?:static\s+)?[a-zA-Z_][a-zA-Z0-9_*\s]+\s+([a
 CALL_NAME = r"([a-zA-Z_][a-zA-Z0-9_]*)\s*\("
 ERROR_LINE = r":(\d+):"
 #: Names of the C library and of compilers that are no functions of a project.
-SYSTEM_NAMES = (
-    "malloc free calloc realloc memcpy memmove memset memcmp"
-    " strcpy strncpy strcat strncat strcmp strncmp strlen strchr strrchr strstr"
-    " printf fprintf sprintf snprintf scanf fscanf sscanf puts putchar fputs fputc gets getchar fgets"
-    " open read write close lseek stat fopen fread fwrite fclose fseek ftell rewind perror"
-    " exit abort qsort bsearch time localtime gmtime mktime ctime sleep usleep nanosleep clock_gettime gettimeofday"
-    " rand srand atoi atol atof strtol strtoul strtod getenv setenv unsetenv"
-).split()
+SYSTEM_NAMES = [
+    "malloc", "free", "calloc", "realloc", "memcpy", "memmove", "memset", "memcmp", "strcpy", "strncpy", "strcat", "strncat",
+    "strcmp", "strncmp", "strlen", "strchr", "strrchr", "strstr", "printf", "fprintf", "sprintf", "snprintf", "scanf", "fscanf",
+    "sscanf", "puts", "putchar", "fputs", "fputc", "gets", "getchar", "fgets", "open", "read", "write", "close",
+    "lseek", "stat", "fopen", "fread", "fwrite", "fclose", "fseek", "ftell", "rewind", "perror", "exit", "abort",
+    "qsort", "bsearch", "time", "localtime", "gmtime", "mktime", "ctime", "sleep", "usleep", "nanosleep", "clock_gettime", "gettimeofday",
+    "rand", "srand", "atoi", "atol", "atof", "strtol", "strtoul", "strtod", "getenv", "setenv", "unsetenv",
+]
 SYSTEM_PREFIXES = ["__", "__builtin_", "llvm.", "pthread_"]
 COMPLEXITY_WORDS = ["if", "while", "for", "switch", "goto"]
 
@@ -100,8 +100,11 @@ def signature(return_type: Column, name: Column, parameters: Column) -> Column:
 
 
 # --- what needs state ----------------------------------------------------------------------
-_C_DECLARATION = re.compile(r"(?:static\s+)?(?:inline\s+)?(\w+(?:\s*\*)*)\s+(\w+)\s*\(([^{]*?)\)\s*(?:\{|;)")
-_C_STRUCT = re.compile(r"(?:typedef\s+)?struct\s+(\w+)?\s*\{([^}]*)\}\s*(\w+)?\s*;")
+_CALLED = re.compile(r"(\w+)\s*\(")
+_TYPE_BEFORE = re.compile(r"(\w+)((?:\s*\*)+\s*|\s+)\Z")
+_STRUCT_OPEN = re.compile(r"\bstruct\s*(\w*)\s*\{")
+_ALIAS = re.compile(r"\s*(\w*)\s*;")
+_NOTES = re.compile(r"//[^\n]*|/\*.*?\*/", re.S)
 _NOT_TYPES = frozenset("return else goto case sizeof".split())
 _RUST_FN = re.compile(r"(?m)^[ \t]*(pub(?:\([^)]*\))?\s+)?((?:const|async|unsafe|extern\s+\"[^\"]*\")\s+)*fn\s+(\w+)\s*(?:<[^>(]*>)?\s*\(([^)]*)\)\s*(?:->\s*([^{;]+?))?\s*(?:where[^{;]*)?[{;]")
 #: Kinds of symbols and what introduces them.
@@ -135,25 +138,64 @@ def _typed(word: str, missing: str) -> tuple[str, str]:
     return " ".join(parts[:-1]), parts[-1].strip("[]*&;")
 
 
+def closing(text: str, at: int, ends: str = "") -> int:
+    """Place of the bracket that closes the one at ``at``; -1 where there is none, or where one of ``ends`` comes before."""
+    opens, closes = text[at], {"(": ")", "{": "}", "[": "]"}[text[at]]
+    depth = 0
+    for i in range(at, len(text)):
+        ch = text[i]
+        if ch == opens:
+            depth += 1
+        elif ch == closes:
+            depth -= 1
+            if not depth:
+                return i
+        elif ch in ends:
+            return -1
+    return -1
+
+
 def c_functions(code: str) -> list[tuple[str, int, str, list[tuple[str, str]]]]:
-    """(name, line, return type, [(type, name)]) of each function of C text, declared or defined."""
+    """(name, line, return type, [(type, name)]) of each function of C text, declared or defined.
+
+    A name behind a type, its parentheses, and a brace or a semicolon behind them.
+    """
     out = []
-    for m in _C_DECLARATION.finditer(code):
-        if m[1] in _NOT_TYPES:
+    for m in _CALLED.finditer(code):
+        kind = _TYPE_BEFORE.search(code, max(0, m.start() - 200), m.start())
+        if not kind or kind[1] in _NOT_TYPES or kind[1].isdigit():
             continue
-        out.append((m[2], code.count("\n", 0, m.start(1)) + 1, m[1].strip(), [_typed(p, "param") for p in split_parameters(m[3])]))
+        end = closing(code, m.end() - 1, "{;")
+        behind = code[end + 1 :].lstrip()[:1] if end > 0 else ""
+        if behind and behind in "{;":
+            stars = "".join(kind[2].split())
+            inside = code[m.end() : end]
+            out.append((m[1], code.count("\n", 0, kind.start(1)) + 1, kind[1] + (" " + stars if stars else ""), [_typed(p, "param") for p in split_parameters(inside)]))
     return out
 
 
 def c_structs(code: str) -> list[tuple[str, int, list[tuple[str, str]]]]:
-    """(name or alias, line, [(type, name)]) of each struct with a body; nameless ones are left out."""
+    """(name or alias, line, [(type, name)]) of each struct with a body; nameless ones are left out.
+
+    Members are what semicolons end on the body's own level; a struct within a struct
+    is a member, and a struct of its own if it has a name.
+    """
     out = []
-    for m in _C_STRUCT.finditer(code):
-        name = m[1] or m[3]
-        if name:
-            rows = [ln.strip().rstrip(";") for ln in m[2].splitlines()]
-            members = [_typed(r, "unnamed") for r in rows if r and not r.startswith(("//", "/*"))]
-            out.append((name, code.count("\n", 0, m.start()) + 1, members))
+    for m in _STRUCT_OPEN.finditer(code):
+        end = closing(code, m.end() - 1)
+        alias = _ALIAS.match(code, end + 1) if end > 0 else None
+        name = m[1] or (alias[1] if alias else "")
+        if not alias or not name:
+            continue
+        members, depth, begin = [], 0, m.end()
+        body = _NOTES.sub(lambda n: " " * len(n[0]), code[m.end() : end])
+        begin = 0
+        for i, ch in enumerate(body):
+            depth += (ch in "{(") - (ch in "})")
+            if ch == ";" and not depth:
+                members.append(_typed(body[begin:i].strip(), "unnamed"))
+                begin = i + 1
+        out.append((name, code.count("\n", 0, m.start()) + 1, members))
     return out
 
 
@@ -214,7 +256,7 @@ def shell_words(text: str) -> list[str]:
 
 
 def function_facts(entries: DataFrame) -> DataFrame:
-    """id, language, name, line, return_type, parameters of every function in C, C++ and Rust text."""
+    """id, language, position, name, line, return_type, parameters of every function in C, C++ and Rust text."""
     part = pa.list_(pa.struct([("type", pa.string()), ("name", pa.string())]))
 
     def run(batches):
@@ -222,31 +264,31 @@ def function_facts(entries: DataFrame) -> DataFrame:
             rows = []
             for i, lang, code in zip(*(b.column(k).to_pylist() for k in range(3))):
                 found = rust_functions(code) if lang == "rust" else c_functions(code)
-                rows += [(i, lang, n, ln, r, [{"type": t, "name": x} for t, x in ps]) for n, ln, r, ps in found]
-            cols = list(zip(*rows)) if rows else [()] * 6
-            types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), part]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "language", "name", "line", "return_type", "parameters"])
+                rows += [(i, lang, k, n, ln, r, [{"type": t, "name": x} for t, x in ps]) for k, (n, ln, r, ps) in enumerate(found, 1)]
+            cols = list(zip(*rows)) if rows else [()] * 7
+            types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), part]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "language", "position", "name", "line", "return_type", "parameters"])
 
     from millrace.functions.slices import canonical_language
 
     kept = entries.select("id", canonical_language(F.col("language")).alias("language"), "code").where(F.col("language").isin("c", "cpp", "rust") & F.col("code").isNotNull())
-    return kept.mapInArrow(sliced(run), "id string, language string, name string, line int, return_type string, parameters array<struct<type: string, name: string>>")
+    return kept.mapInArrow(sliced(run), "id string, language string, position int, name string, line int, return_type string, parameters array<struct<type: string, name: string>>")
 
 
 def struct_facts(entries: DataFrame) -> DataFrame:
-    """id, name, line, members of every struct of C and C++ text."""
+    """id, position, name, line, members of every struct of C and C++ text."""
     part = pa.list_(pa.struct([("type", pa.string()), ("name", pa.string())]))
 
     def run(batches):
         for b in batches:
-            rows = [(i, n, ln, [{"type": t, "name": x} for t, x in ms]) for i, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for n, ln, ms in c_structs(code)]
-            cols = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.string(), pa.int32(), part])], ["id", "name", "line", "members"])
+            rows = [(i, k, n, ln, [{"type": t, "name": x} for t, x in ms]) for i, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, (n, ln, ms) in enumerate(c_structs(code), 1)]
+            cols = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int32(), pa.string(), pa.int32(), part])], ["id", "position", "name", "line", "members"])
 
     from millrace.functions.slices import canonical_language
 
     kept = entries.where(canonical_language(F.col("language")).isin("c", "cpp") & F.col("code").isNotNull()).select("id", "code")
-    return kept.mapInArrow(sliced(run), "id string, name string, line int, members array<struct<type: string, name: string>>")
+    return kept.mapInArrow(sliced(run), "id string, position int, name string, line int, members array<struct<type: string, name: string>>")
 
 
 def symbol_facts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:

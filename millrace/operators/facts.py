@@ -116,11 +116,12 @@ QUERIES = {
     "fn_solution_title": lambda s, d: table(s, d, "documents").where("text IS NOT NULL").select("doc_id", solution_title(F.col("text")).alias("title")),
     "filter_system_names": lambda s, d: _e(s, d).select(F.explode(C.distinct_names(F.col("code"), C.CALL_NAME)).alias("name")).distinct().select("name", C.is_system_name(F.col("name")).alias("is_system")),
     "filter_call_edges": lambda s, d: call_edges(_e(s, d)),
-    "fn_function_facts": lambda s, d: C.function_facts(_e(s, d)).select("id", "language", "name", "line", C.signature(F.col("return_type"), F.col("name"), F.col("parameters")).alias("signature")),
-    "fn_struct_facts": lambda s, d: C.struct_facts(_e(s, d)),
+    "fn_function_facts": lambda s, d: C.function_facts(_e(s, d)).select("id", "language", "position", "name", "return_type", F.size("parameters").alias("n_parameters")),
+    "fn_signatures": lambda s, d: C.function_facts(_e(s, d)).select("id", "language", "name", "line", C.signature(F.col("return_type"), F.col("name"), F.col("parameters")).alias("signature")),
+    "fn_struct_facts": lambda s, d: C.struct_facts(_e(s, d)).select("id", "position", "name", F.size("members").alias("n_members")),
     "fn_symbol_facts": lambda s, d: C.symbol_facts(table(s, d, "translation_results"), "id", "rust_code"),
-    "filter_important": lambda s, d: important_functions(C.function_facts(_e(s, d))).select("id", "name", "line"),
-    "filter_parameter_type": lambda s, d: with_parameter_type(C.function_facts(_e(s, d)), "uint8_t").select("id", "name"),
+    "filter_important": lambda s, d: important_functions(C.function_facts(_e(s, d))).select("id", "position", "name"),
+    "filter_parameter_type": lambda s, d: with_parameter_type(C.function_facts(_e(s, d)), "uint8_t").select("id", "position", "name"),
     "filter_return_type": lambda s, d: returning(C.function_facts(_e(s, d)), "char").select("id", "name", "return_type"),
     "agg_symbols": lambda s, d: symbol_counts(_e(s, d)),
     "agg_functions_by_language": lambda s, d: C.function_facts(_e(s, d)).groupBy("language").agg(F.count("*").alias("n_functions"), F.countDistinct("id").alias("n_entries")),
@@ -144,7 +145,25 @@ _WORDS = " + ".join(f"(length(code) - length(replace(code, '{w}', ''))) // {len(
 _COMPLEX = f"round(({_LINES} + len({_all(C.C_FUNCTION)}) * 2.0 + ({_WORDS}) * 1.5) / 10.0, 4)::DOUBLE"
 _SYS = "(lower({0}) IN (" + ", ".join(f"'{x}'" for x in C.SYSTEM_NAMES) + ") OR " + " OR ".join(f"starts_with(lower({{0}}), '{p}')" for p in C.SYSTEM_PREFIXES) + ")"
 _EDGES = f"SELECT caller, callee FROM (SELECT DISTINCT id AS caller, unnest({_all(C.CALL_NAME)}) AS callee FROM code_entries) WHERE NOT {_SYS.format('callee')}"
+# functions of C texts (parentheses nest once there) and of Rust texts, written out
+_C_HEAD = r"(\w+)((?:\s*\*)+\s*|\s+)(\w+)\s*\(((?:[^(){};]|\([^(){};]*\))*)\)\s*[{;]"
+_RUST_HEAD = r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern\s+\"[^\"]*\")\s+)*fn\s+(\w+)\s*(?:<[^>(]*>)?\s*\(([^)]*)\)\s*(?:->\s*([^{;]+?))?\s*(?:where[^{;]*)?[{;]"
+_LANG = "CASE WHEN lower(trim(language)) IN ('c', 'c99', 'c11', 'c17', 'ansi c') THEN 'c' WHEN lower(trim(language)) IN ('cpp', 'c++', 'cxx', 'cc') THEN 'cpp' WHEN lower(trim(language)) IN ('rust', 'rs') THEN 'rust' END"
+_FUNCTIONS = f"""WITH e AS (SELECT id, {_LANG} AS language, code FROM code_entries WHERE code IS NOT NULL),
+    h AS (SELECT id, language, unnest(regexp_extract_all(code, '{_C_HEAD}', 1)) AS t, unnest(regexp_extract_all(code, '{_C_HEAD}', 2)) AS stars, unnest(regexp_extract_all(code, '{_C_HEAD}', 3)) AS name, unnest(regexp_extract_all(code, '{_C_HEAD}', 4)) AS ps, unnest(range(10000)) AS k FROM e WHERE language IN ('c', 'cpp')
+        UNION ALL SELECT id, language, unnest(regexp_extract_all(code, '{_RUST_HEAD}', 3)), '', unnest(regexp_extract_all(code, '{_RUST_HEAD}', 1)), unnest(regexp_extract_all(code, '{_RUST_HEAD}', 2)), unnest(range(10000)) FROM e WHERE language = 'rust'),
+    f AS (SELECT id, language, row_number() OVER (PARTITION BY id ORDER BY k)::INT AS position, name, CASE WHEN language = 'rust' THEN coalesce(nullif(trim(t), ''), '()') ELSE t || CASE WHEN contains(stars, '*') THEN ' ' || regexp_replace(stars, '\\s', '', 'g') ELSE '' END END AS return_type,
+            list_filter(list_transform(string_split(CASE WHEN language = 'rust' THEN ps ELSE regexp_replace(ps, '\\([^()]*\\)', '', 'g') END, ','), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13))), lambda p: p <> '' AND (p <> 'void' OR language = 'rust')) AS ps
+        FROM h WHERE name IS NOT NULL AND (language = 'rust' OR (t NOT IN ('return', 'else', 'goto', 'case', 'sizeof') AND NOT regexp_full_match(t, '\\d+'))))"""
+_STRUCT = r"\bstruct\s*(\w*)\s*\{((?:[^{}]|\{[^{}]*\})*)\}\s*(\w*)\s*;"
 ORACLE_SQL = {
+    "fn_function_facts": f"{_FUNCTIONS} SELECT id, language, position, name, return_type, len(ps)::INT AS n_parameters FROM f",
+    "filter_important": f"{_FUNCTIONS} SELECT id, position, name FROM f WHERE NOT starts_with(name, '__') AND len(ps) <= 5 AND NOT contains(return_type, '(*')",
+    "filter_return_type": f"{_FUNCTIONS} SELECT id, name, return_type FROM f WHERE contains(return_type, 'char')",
+    "filter_parameter_type": f"{_FUNCTIONS} SELECT id, position, name FROM f WHERE len(list_filter(ps, lambda p: contains(CASE WHEN language = 'rust' THEN CASE WHEN contains(p, ':') THEN p[strpos(p, ':') + 1 :] ELSE 'Self' END ELSE CASE WHEN regexp_matches(p, '\\s') THEN regexp_replace(p, '\\s+\\S+$', '') ELSE p END END, 'uint8_t'))) > 0",
+    "agg_functions_by_language": f"{_FUNCTIONS} SELECT language, count(*) AS n_functions, count(DISTINCT id) AS n_entries FROM f GROUP BY language",
+    "fn_struct_facts": f"""SELECT id, row_number() OVER (PARTITION BY id ORDER BY k)::INT AS position, name, (length(body) - length(replace(body, ';', '')))::INT AS n_members FROM (SELECT id, k, coalesce(nullif(a, ''), nullif(z, '')) AS name, regexp_replace(regexp_replace(body, '(?s)//[^\\n]*|/\\*.*?\\*/', '', 'g'), '\\{{[^{{}}]*\\}}', '', 'g') AS body FROM
+        (SELECT id, unnest(regexp_extract_all(code, '{_STRUCT}', 1)) AS a, unnest(regexp_extract_all(code, '{_STRUCT}', 2)) AS body, unnest(regexp_extract_all(code, '{_STRUCT}', 3)) AS z, unnest(range(10000)) AS k FROM code_entries WHERE {_LANG} IN ('c', 'cpp'))) WHERE name IS NOT NULL""",
     "fn_c_functions": f"SELECT id, {_all(C.C_FUNCTION)} AS names FROM code_entries",
     "fn_includes": f"SELECT id, {_all(C.INCLUDE_ANCHORED, 2)} AS anchored, {_all(C.INCLUDE_LOOSE)} AS loose FROM code_entries",
     "fn_context_names": f"SELECT id, {_all(C.TYPE_NAME)} AS types, {_all(C.MACRO_NAME)} AS macros FROM code_entries",

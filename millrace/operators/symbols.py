@@ -358,6 +358,7 @@ _SECTION = r"""WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls
     f AS (SELECT doc_id, arg_min(content, section) AS content FROM s WHERE (contains(lower(heading), 'solution') OR contains(heading, '解决')) AND content <> '' GROUP BY doc_id)"""
 _REL = r"coalesce(greatest(least(try_cast(nullif(regexp_extract(text, '(?i)relevance[:\s]*([0-9]*\.?[0-9]+)', 1), '') AS DOUBLE), 1.0), 0.0), 0.8)::DOUBLE"
 ORACLE_SQL = {
+    "fn_symbol_facts": f"{_SYMBOLS} SELECT record_id, kind, name, start_line, end_line FROM q",
     "symbol_find": f"{_WITH_TEXT} SELECT record_id, kind, name, start_line, end_line, content FROM z WHERE rn = 1",
     "symbol_names": f"{_SYMBOLS} SELECT record_id, list(name ORDER BY start_line) AS names FROM q WHERE kind = 'function' GROUP BY record_id",
     "symbol_replaced": f"{_WITH_TEXT} SELECT record_id, array_to_string(l[: start_line - 1] || ['// moved', '// away'] || l[end_line + 1 :], chr(10)) AS text FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY start_line) AS r FROM z WHERE kind = 'function') WHERE r = 1",
