@@ -242,12 +242,20 @@ def _stub(text: str) -> tuple[str, float]:
     """Deterministic stand-in for a model: fails on texts without a brace."""
     if "{" not in text:
         raise ValueError("no code")
-    return text.upper(), round(1.0 / (1 + len(text) % 7), 4)
+    return text.replace("int ", "i32 "), round(1.0 / (1 + len(text) % 7), 4)
 
 
 def _merged(s, d):
     chunks = split_by_lines(table(s, d, "code_entries"), "id", "code", 40)
-    return merge_chunks(run_chunks(chunks, _stub)).select("record_id", "confidence", "returned_confidence", "n_failed")
+    return merge_chunks(run_chunks(chunks, _stub)).select("record_id", F.md5("merged").alias("merged_md5"), F.length("merged").alias("n_chars"), "confidence", "returned_confidence", "n_failed")
+
+
+def _rejoined(s, d):
+    """What is left of each text in its chunks, blanks aside, and whether any chunk is over the limit."""
+    cut = chunk_messages(_docs(s, d), "doc_id", "text", 2000)
+    rows = F.array_sort(F.collect_list(F.struct("chunk_no", "chunk")))  # a group is one text
+    g = cut.groupBy("record_id").agg(rows.alias("r"), F.max(token_estimate(F.col("chunk"))).alias("largest"), F.max("n_chunks").alias("n_chunks"), F.count("*").alias("n"))
+    return g.select("record_id", F.md5(F.regexp_replace(F.array_join(F.transform("r", lambda x: x["chunk"]), ""), r"(?U)\s+", "")).alias("text_md5"), (F.col("largest") <= 2000).alias("fits"), (F.col("n") == F.col("n_chunks")).alias("complete"))
 
 
 QUERIES = {
@@ -260,6 +268,7 @@ QUERIES = {
     "chunk_functions": lambda s, d: split_by_functions(table(s, d, "code_entries"), "id", "code", 60),
     "chunk_headers": lambda s, d: chunk_header(split_source(table(s, d, "code_entries"), "id", "code", 60)),
     "chunk_merged": _merged,
+    "chunk_rejoined": _rejoined,
     "window_numbered": lambda s, d: number_rows(table(s, d, "code_entries").select("id"), ["id"]).select("id", "row_no", F.ceil(F.col("row_no") / 100.0).cast("long").alias("batch_no")),
     "window_progress": lambda s, d: progress(table(s, d, "conversion_results").select("id").distinct(), ["id"]),
 }
@@ -281,3 +290,12 @@ ORACLE_SQL = {
         p AS (SELECT record_id, lines, unnest(range(0, len(cuts))) AS k, unnest(cuts) AS a, unnest(list_append(cuts[2:], len(lines))) AS b FROM c JOIN l USING (record_id))
         SELECT record_id, k::INT AS chunk_no, (a + 1)::INT AS start_line, b::INT AS end_line, array_to_string(lines[a + 1 : b], chr(10)) AS content FROM p""",
 }
+_BY_SOURCE = f"""fx AS ({ORACLE_SQL["chunk_functions"]}), lx AS ({ORACLE_SQL["chunk_lines"].replace("25", "60")}), k AS (SELECT * FROM fx UNION ALL SELECT * FROM lx WHERE record_id NOT IN (SELECT record_id FROM fx))"""
+_NAMES = r"regexp_extract_all(content, '(?m)^[a-zA-Z_][a-zA-Z0-9_*\s]*\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\([^)]*\)\s*\{', 1)"
+ORACLE_SQL |= {
+    "chunk_headers": f"""WITH {_BY_SOURCE} SELECT record_id, chunk_no, 'Chunk ' || (chunk_no + 1) || ', lines ' || start_line || '-' || end_line || CASE WHEN len({_NAMES}) > 0 THEN '; functions: ' || array_to_string({_NAMES}, ', ') ELSE '' END AS header FROM k""",
+    "chunk_merged": f"""WITH c AS ({ORACLE_SQL["chunk_lines"].replace("25", "40")}), r AS (SELECT record_id, chunk_no, contains(content, '{{') AS done, CASE WHEN contains(content, '{{') THEN replace(content, 'int ', 'i32 ') ELSE '// failed: ValueError' END AS output, round(1.0::DOUBLE / (1 + length(content) % 7), 4) AS score FROM c),
+        m AS (SELECT record_id, string_agg('// chunk ' || (chunk_no + 1) || chr(10) || output, chr(10) || chr(10) ORDER BY chunk_no) AS merged, coalesce(sum(score) FILTER (done), 0) AS s, count(*) AS n, count(*) FILTER (done) AS d FROM r GROUP BY record_id)
+        SELECT record_id, md5(merged) AS merged_md5, length(merged)::INT AS n_chars, round(s / n, 6)::DOUBLE AS confidence, CASE WHEN d = 0 THEN 0.0 ELSE round(s / d, 6) END::DOUBLE AS returned_confidence, n - d AS n_failed FROM m""",
+    "chunk_rejoined": r"SELECT doc_id::VARCHAR AS record_id, md5(regexp_replace(text, '[\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', '', 'g')) AS text_md5, true AS fits, true AS complete FROM documents WHERE text IS NOT NULL",
+}

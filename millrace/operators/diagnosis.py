@@ -236,3 +236,18 @@ ORACLE_SQL = {
             nullif(regexp_extract(r, '(?s)```rust\n?(.*?)\n```', 1), ''), replace(replace(replace(replace(nullif(regexp_extract(r, '(?s)"rust_code"\s*:\s*"((?:[^"\\]|\\.)*)', 1), ''), '\n', chr(10)), '\t', chr(9)), '\"', '"'), '\\', '\'),
             nullif(regexp_extract(r, '(?s)```\w*\n(.*?)\n```', 1), ''), r) AS rust_code, CASE WHEN json_valid(regexp_replace(regexp_replace(CASE WHEN regexp_matches(r, '(?s)```json.*?```') THEN regexp_extract(r, '(?s)```json(.*?)```', 1) ELSE r END, '(?m)^\s*\d+\s+', '', 'g'), '^\s+|\s+\z', '', 'g')) THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence FROM a""",
 }
+_CATEGORY = f"""CASE WHEN starts_with(lower(keyword), 'e0') OR contains(lower(keyword), 'error[') THEN 'error_code' {' '.join(f"WHEN {_any('keyword', ps)} THEN '{c}'" for c, ps in KEYWORD_CATEGORIES)} ELSE 'general' END"""
+_RELEVANCE = f"""round(greatest(least(0.7 + CASE WHEN starts_with(lower(keyword), 'e0') THEN 0.3 ELSE 0 END + CASE WHEN {_any('keyword', ['ownership', 'borrow', 'lifetime', 'trait'])} THEN 0.2 ELSE 0 END + CASE WHEN {_any('keyword', ['fix', 'solve', 'solution'])} THEN 0.1 ELSE 0 END
+    - CASE WHEN strlen(keyword) > 50 THEN 0.2 ELSE 0 END, 1.0), 0.1), 4)::DOUBLE"""
+_KEYWORDS = rf"""WITH b AS (SELECT DISTINCT id, '"' || error_message || '" and `E0382 moved`' AS t FROM conversion_results WHERE error_message IS NOT NULL),
+    l AS (SELECT id, trim(unnest(string_split(t, chr(10)))) AS x, unnest(range(10000)) AS pos FROM b),
+    o AS (SELECT id, pos, regexp_replace(regexp_replace(trim(split_part(x, '|', 1)), '^"+|"+$', '', 'g'), '^`+|`+$', '', 'g') AS keyword, trim(split_part(x, '|', 2)) AS category, coalesce(try_cast(trim(regexp_replace(x, '^[^|]*\|[^|]*\|', '')) AS DOUBLE), 1.0) AS relevance
+        FROM l WHERE regexp_matches(x, '^[^|]*\|[^|]*\|') AND NOT regexp_matches(x, '^(#|//)')),
+    q AS (SELECT id, trim(unnest(regexp_extract_all(t, '"([^"]+)"', 1) || regexp_extract_all(t, '`([^`]+)`', 1))) AS keyword, unnest(range(10000)) AS pos FROM b),
+    k AS (SELECT id, pos, keyword, category, relevance FROM o WHERE keyword <> '' UNION ALL SELECT id, pos, keyword, {_CATEGORY}, {_RELEVANCE} FROM q WHERE strlen(keyword) > 3 AND id NOT IN (SELECT id FROM o WHERE keyword <> '')),
+    f AS (SELECT *, row_number() OVER (PARTITION BY id, keyword ORDER BY pos) AS rn FROM k),
+    p AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY relevance DESC, keyword)::INT AS position, keyword, category, relevance FROM f WHERE rn = 1)"""
+ORACLE_SQL |= {
+    "error_keywords": f"{_KEYWORDS} SELECT * FROM p WHERE position <= 10",
+    "error_search_query": f"""{_KEYWORDS} SELECT id, string_agg(CASE WHEN category = 'error_code' THEN '"' || keyword || '"' WHEN category = 'solution' THEN '"' || keyword || '" solution' ELSE keyword END, ' ' ORDER BY position) AS query FROM p WHERE position <= 5 GROUP BY id""",
+}
