@@ -6,33 +6,36 @@ sample of tokenized rows, applied to every row, and its bias is corrected by the
 ratio of true to predicted tokens on a tokenized holdout.
 
 The sample (``fit_rows`` for each language, by hash of the id, half of it held
-out) is the only bounded part; languages beyond the ``OWN_LANGUAGES`` most frequent
-ones are sampled as one; counts and estimates cover every row and the
-whole of every text.
-
-Defined results: null and empty texts count as records with 0 tokens; a language
-without enough tokenized rows uses the model fitted over all languages, or, where
-there are more than ``OWN_LANGUAGES``, the one fitted over all such languages; slices
-with a null key come out as ``unknown``; repeated rows count as often as they
-stand in the table.
+out) is the only bounded part; counts and estimates cover every row and the whole of
+every text.  Every language with ``LEAST_FIT`` rows or more has a model of its own,
+however many languages there are: models are fitted group by group in Spark and meet
+the slices, not the rows, since the estimate of a slice is linear in its summed counts.
+
+Defined results: null and empty texts count as records with 0 tokens; languages
+with fewer than ``LEAST_FIT`` texts share one model, fitted on a sample of them, or of all
+texts where they are fewer than that together; slices with a null key come out as
+``unknown``; repeated rows count as often as they stand in the table.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.slices import canonical_language, canonical_project, canonical_source, is_code, metadata_field
 from millrace.llm.vocab import TOKENIZER_DIR, count_tokens
-from millrace.runtime import sliced
+from millrace.runtime import materialise, sliced
 
 FEATURES = ["bytes", "words", "digits", "punct", "spaces", "breaks", "upper", "latin", "cjk", "other"]
 FIT_ROWS = 600
 LEAST_FIT = 40
-#: So many languages have a sample of their own; all others share one, under the key POOLED.
-OWN_LANGUAGES, POOLED = 64, "(others)"
+#: Key of the model that languages with fewer texts than LEAST_FIT share.
+POOLED = ""
+#: Tables of counts by language of up to so many rows are broadcast to the texts; larger ones are joined.
+BROADCAST_LANGUAGES = 50_000
 
 # byte classes: 1 small letter or underscore, 2 capital, 3 digit, 4 punctuation, 5 space, 6 line break, 7-9 lead bytes by script, 0 others
 _CLASS = np.zeros(256, np.uint8)
@@ -110,63 +113,62 @@ def _nonnegative(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit_models(df: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, fit_rows: int = FIT_ROWS) -> dict[str, dict]:
-    """language -> weights, bias, holdout error.  ``df`` has id, language, text.
+def fit_model(part: pd.DataFrame) -> dict:
+    """weights, bias, holdout_error, rows from tokenized rows in the order of ``u``: even ones fit, odd ones are held out."""
+    x, y = part[FEATURES].to_numpy(float), part["tokens"].to_numpy(float)
+    fit, hold = np.arange(0, len(part), 2), np.arange(1, len(part), 2)
+    if len(part) < 4:
+        fit = hold = np.arange(len(part))
+    scale = 1 / np.sqrt(np.maximum(1.0, y[fit]))  # errors grow with the length
+    w = _nonnegative(x[fit] * scale[:, None], y[fit] * scale)
+    guess = x[hold] @ w
+    bias = float(y[hold].sum() / guess.sum()) if guess.sum() > 0 else 1.0
+    return {"weights": w.tolist(), "bias": bias, "holdout_error": float(np.abs(guess * bias - y[hold]).sum() / max(1.0, y[hold].sum())), "rows": len(part)}
 
-    At most about ``2 * fit_rows`` rows for each of OWN_LANGUAGES languages, and as many for
-    all others together, reach the driver, as numbers.
+
+def fit_models(df: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """language, weights, bias, holdout_error, rows: one row for each language with LEAST_FIT texts, one for all others (POOLED).
+
+    ``df`` has id, language, text.  At most about ``2 * fit_rows`` rows of each model are tokenized.
     """
-    full = df.where("text IS NOT NULL AND text <> ''")
-    counts = {r["language"]: r["n"] for r in full.groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").limit(OWN_LANGUAGES).collect()}
-    if not counts:
-        return {}
-    others = full.where(~F.coalesce(F.col("language").isin([x for x in counts if x is not None]), F.lit(False))).count() if len(counts) == OWN_LANGUAGES else 0
-    share = F.lit(min(1.0, 2.0 * fit_rows / others) if others else 0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("language") == lang, F.lit(min(1.0, 2.0 * fit_rows / n))).otherwise(share)
+    full = df.where("text IS NOT NULL AND text <> ''").withColumn("language", F.coalesce("language", F.lit("unknown")))
+    counts = materialise(full.groupBy("language").agg(F.count("*").alias("n")), "language-counts")
+    total = counts.agg(F.count("*").alias("languages"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("n") < LEAST_FIT, F.col("n"))), F.lit(0)).alias("rare")).first()
+    # rare languages are sampled as one; too few of them are filled up with rows of all
+    fill = min(1.0, 2.0 * fit_rows / total["n"]) if 0 < total["rare"] < LEAST_FIT else 0.0
+    rare = F.col("n") < LEAST_FIT
+    shares = counts.select("language", F.when(rare, POOLED).otherwise(F.col("language")).alias("model"), F.least(F.lit(1.0), F.lit(2.0 * fit_rows) / F.when(rare, F.lit(max(1, total["rare"]))).otherwise(F.col("n"))).alias("share"))
+    shares = F.broadcast(shares) if total["languages"] <= BROADCAST_LANGUAGES else shares
     unit = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = _with_features(full.withColumn("u", unit).where(F.col("u") < share), ["id", "language", "u"], (tokenizer, folder)).drop("id").orderBy("u").toPandas()
-    if others:
-        rows = sample["language"].map(sample["language"].value_counts())
-        sample["language"] = sample["language"].where(sample["language"].isin(list(counts)) & (rows >= LEAST_FIT), POOLED)
-    models: dict[str, dict] = {}
-    for lang, part in [("", sample), *sample.groupby("language")]:
-        if len(part) < (LEAST_FIT if lang else 1):
-            continue
-        x, y = part[FEATURES].to_numpy(float), part["tokens"].to_numpy(float)
-        if lang == "" and len(part) < 4:
-            fit = hold = np.arange(len(part))
-        else:
-            fit, hold = np.arange(0, len(part), 2), np.arange(1, len(part), 2)
-        scale = 1 / np.sqrt(np.maximum(1.0, y[fit]))  # errors grow with the length
-        w = _nonnegative(x[fit] * scale[:, None], y[fit] * scale)
-        guess = x[hold] @ w
-        bias = float(y[hold].sum() / guess.sum()) if guess.sum() > 0 else 1.0
-        error = float(np.abs(guess * bias - y[hold]).sum() / max(1.0, y[hold].sum()))
-        models[lang] = {"weights": w.tolist(), "bias": bias, "holdout_error": error, "rows": len(part)}
-    return models
-
-
-def estimate_tokens(df: DataFrame, keys: list[str], models: dict[str, dict]) -> DataFrame:
-    """keys + bytes, est_tokens of every row of ``df`` (which has language and text)."""
-    cols = list(dict.fromkeys([*keys, "language"]))
-    at = cols.index("language")
-    ddl = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in cols), "bytes long", "est_tokens double"])
+    drawn = full.withColumn("u", unit).join(shares, "language")
+    serves = F.filter(F.array(F.when(F.col("u") < F.col("share"), F.col("model")), F.when((F.col("u") < fill) & (F.col("model") != POOLED), F.lit(POOLED))), lambda m: m.isNotNull())
+    sample = _with_features(drawn.withColumn("models", serves).where(F.size("models") > 0), ["models", "u"], (tokenizer, folder))
 
-    def run(batches):
-        weights = {k: np.array(m["weights"]) * m["bias"] for k, m in models.items()}
-        for b in batches:
-            x = text_features(b.column(len(cols)).fill_null(""))
-            langs = np.array(b.column(at).fill_null("").to_pylist(), object)
-            est = np.zeros(len(x))
-            for lang in set(langs):
-                pick = langs == lang
-                w = weights.get(lang, weights.get(POOLED, weights.get("")))
-                if w is not None:
-                    est[pick] = x[pick] @ w
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(cols))), pa.array(x[:, 0].astype("int64")), pa.array(est)], names=[*cols, "bytes", "est_tokens"])
+    def fitted(key, part):
+        m = fit_model(part.sort_values(["u", "bytes"]))
+        return pd.DataFrame([{"language": key[0], **m}])
+
+    # a group is one model's sample
+    rows = sample.select(F.explode("models").alias("model"), "u", *FEATURES, "tokens")
+    return materialise(rows.groupBy("model").applyInPandas(fitted, "language string, weights array<double>, bias double, holdout_error double, rows long"), "models")
 
-    return df.select(*cols, "text").mapInArrow(sliced(run), ddl)
+
+def sum_features(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_records and the sums of FEATURES over the rows of each."""
+    return _with_features(df, keys).groupBy(*keys).agg(F.count("*").alias("n_records"), *(F.sum(f).alias(f) for f in FEATURES))
+
+
+def estimate_tokens(df: DataFrame, keys: list[str], models: DataFrame) -> DataFrame:
+    """keys, n_records, n_bytes, est_tokens of each slice of ``df`` (which has language and text)."""
+    cols = list(dict.fromkeys([*keys, "language"]))
+    sums = sum_features(df, cols).withColumn("_lang", F.coalesce("language", F.lit("unknown")))
+    own = models.select(F.col("language").alias("_lang"), F.col("weights").alias("_own"), F.col("bias").alias("_bias"))
+    pooled = models.where(F.col("language") == POOLED).first()
+    weights = F.array(*(F.lit(float(w)) for w in pooled["weights"])) if pooled else F.array(*(F.lit(0.0) for _ in FEATURES))
+    joined = sums.join(own, "_lang", "left")
+    w, bias = F.coalesce("_own", weights), F.coalesce("_bias", F.lit(float(pooled["bias"]) if pooled else 1.0))
+    est = sum((F.col(f) * w[i] for i, f in enumerate(FEATURES)), F.lit(0.0)) * bias
+    return joined.select(*cols, "n_records", F.col("bytes").cast("long").alias("n_bytes"), est.alias("est_tokens")).groupBy(*keys).agg(F.sum("n_records").alias("n_records"), F.sum("n_bytes").alias("n_bytes"), F.sum("est_tokens").alias("est_tokens"))
 
 
 def code_slices(entries: DataFrame) -> DataFrame:
@@ -184,8 +186,5 @@ def document_slices(documents: DataFrame) -> DataFrame:
 
 def token_budget(slices: DataFrame, record_table: str, **fit) -> DataFrame:
     """record_table, source, language, domain, n_records, n_bytes, est_tokens for each slice."""
-    models = fit_models(slices, **fit)
-    est = estimate_tokens(slices, ["source", "language", "domain"], models)
-    return est.groupBy("source", "language", "domain").agg(F.count("*").alias("n_records"), F.sum("bytes").alias("n_bytes"), F.round(F.sum("est_tokens"), 1).alias("est_tokens")).select(
-        F.lit(record_table).alias("record_table"), "source", "language", "domain", "n_records", "n_bytes", "est_tokens"
-    )
+    est = estimate_tokens(slices, ["source", "language", "domain"], fit_models(slices, **fit))
+    return est.select(F.lit(record_table).alias("record_table"), "source", "language", "domain", "n_records", "n_bytes", F.round("est_tokens", 1).alias("est_tokens"))

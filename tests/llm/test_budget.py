@@ -19,7 +19,7 @@ def test_features():
 
 
 def test_holdout_error(spark, data):
-    models = budget.fit_models(budget.code_slices(spark.read.parquet(f"{data}/code_entries.parquet")))
+    models = {r.language: r for r in budget.fit_models(budget.code_slices(spark.read.parquet(f"{data}/code_entries.parquet"))).collect()}
     assert models["c"]["holdout_error"] < 0.15 and 0.8 < models["c"]["bias"] < 1.2
 
 
@@ -51,3 +51,23 @@ def test_languages_beyond_the_most_frequent(spark):
     got = budget.estimate_tokens(df.where("language LIKE 'x%'"), ["language"], models).agg({"est_tokens": "sum"}).first()[0]
     true = sum(count_tokens([t for _, lang, t in rows if lang[0] == "x"], "byte_bpe_50k", TOKENIZER_DIR))
     assert abs(got - true) < 0.1 * true
+
+
+def test_every_language_has_its_model(spark):
+    """Seventy languages whose texts take very different numbers of tokens a byte."""
+    texts = ["the quick brown fox and so on ", "4711 0815 99 314159 27 ", "xq zv jk wq pf vb ", "{}();[]<>!= "]
+    rows = [(f"{k}-{i}", f"l{k:02}", texts[k % 4] * (1 + (i * 7 + k) % 9)) for k in range(70) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, language string, text string")
+    models = budget.fit_models(df)
+    assert {r.language for r in models.collect()} == {f"l{k:02}" for k in range(70)}
+    got = {r.language: r.est_tokens for r in budget.estimate_tokens(df, ["language"], models).collect()}
+    for k in range(70):
+        true = sum(count_tokens([t for _, lang, t in rows if lang == f"l{k:02}"], "byte_bpe_50k", TOKENIZER_DIR))
+        assert abs(got[f"l{k:02}"] - true) < 0.03 * true
+
+
+def test_few_rows_of_one_language(spark):
+    rows = [(f"a{i}", "en", "some plain words here " * (1 + i % 6)) for i in range(80)] + [("b", "de", "ein paar Worte hier")]
+    df = spark.createDataFrame(rows, "id string, language string, text string")
+    got = {r.language: r.est_tokens for r in budget.estimate_tokens(df, ["language"], budget.fit_models(df)).collect()}
+    assert 2 < got["de"] < 12
