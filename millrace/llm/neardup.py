@@ -33,8 +33,12 @@ of up to ``SHORT`` lines are candidates with k = 1, longer ones with k =
 lines unless fewer than half of a text's lines are.
 
 Defined results: rows whose code is null, or has no line left, are in no pair; a
-null language counts as code; repeated ids count once.  Line hashes and keys of
-representatives have 64 bits.
+null language counts as code; repeated ids count once.  Line hashes have 64 bits; texts
+are equal if two hashes of 64 bits over all their lines are, and a key that two
+unequal texts share is replaced by one of both hashes.
+
+A variant on which very many texts meet is no single task: its texts are dealt into
+blocks, and each pair of blocks is joined by itself.
 """
 
 from __future__ import annotations
@@ -48,10 +52,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.slices import canonical_language, is_code
-from millrace.runtime import materialise, sliced
+from millrace.runtime import discard, materialise, sliced
 
 SHARE_NUM, SHARE_DEN = 3, 4
 COMMON, COMMON_LEAST = 1e-4, 16
+#: Texts that meet on one variant are joined in blocks of about this many.
+BLOCK = 256
 #: Pairs whose longer text has more than SHORT lines must meet on LEAST_MET of their rarest lines.
 SHORT, LEAST_MET = 15, 3
 
@@ -81,23 +87,24 @@ def line_set(code: str, language: str) -> list[int]:
 
 
 def entry_lines(entries: DataFrame) -> DataFrame:
-    """id, text_key, n_lines, lines (sorted 64-bit hashes) of every row that is code."""
+    """id, text_key, check, n_lines, lines (sorted 64-bit hashes) of every row that is code."""
 
     def run(batches):
         for b in batches:
-            flat, sizes, keys = [], [], []
+            flat, sizes, keys, checks = [], [], [], []
             for code, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 got = np.array(line_set(code, lang), np.uint64)
                 got.sort()
                 keys.append(xxhash.xxh3_64_intdigest(got.tobytes()))
+                checks.append(xxhash.xxh3_64_intdigest(got.tobytes(), 1))
                 flat.append(got.view(np.int64))
                 sizes.append(len(got))
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.array([], np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], ["id", "text_key", "n_lines", "lines"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(checks, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], ["id", "text_key", "check", "n_lines", "lines"])
 
     kept = entries.where(is_code(F.col("language")) & F.col("code").isNotNull() & F.col("id").isNotNull())
-    return kept.select(F.col("id").cast("string").alias("id"), F.col("code").cast("string").alias("code"), canonical_language(F.col("language")).alias("language")).mapInArrow(sliced(run), "id string, text_key long, n_lines int, lines array<long>").where("n_lines > 0")
+    return kept.select(F.col("id").cast("string").alias("id"), F.col("code").cast("string").alias("code"), canonical_language(F.col("language")).alias("language")).mapInArrow(sliced(run), "id string, text_key long, check long, n_lines int, lines array<long>").where("n_lines > 0")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -194,6 +201,22 @@ def _list_parts(col) -> tuple[np.ndarray, np.ndarray]:
     return col.values.to_numpy()[offsets[0] : offsets[-1]], np.diff(offsets)
 
 
+def meetings(balls: DataFrame, block: int = BLOCK) -> DataFrame:
+    """variant, key_a, key_b (key_a < key_b) of all keys that share a variant (``balls``: variant, key).
+
+    A variant of more than ``block`` keys is dealt into blocks by the keys' hash and
+    joined by pairs of blocks, so no task holds it whole.
+    """
+    heavy = balls.groupBy("variant").agg(F.count("*").alias("n")).where(F.col("n") > block).select("variant", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    light = balls.join(heavy, "variant", "left_anti")
+    small = light.join(light.withColumnRenamed("key", "key_b"), "variant").where("key < key_b").select("variant", F.col("key").alias("key_a"), "key_b")
+    dealt = balls.join(heavy, "variant").select("variant", "key", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("at"))
+    left = dealt.select("variant", F.col("key").alias("a"), F.col("at").alias("i"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("j"))
+    right = dealt.select("variant", F.col("key").alias("b"), F.explode(F.sequence(F.lit(0), "at")).alias("i"), F.col("at").alias("j"))
+    large = left.join(right, ["variant", "i", "j"]).where("i < j OR a < b").where("a <> b")
+    return small.unionAll(large.select("variant", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")))
+
+
 def near_pairs(texts: DataFrame, common: float = COMMON) -> DataFrame:
     """key_a, key_b (key_a < key_b) of all near-duplicate pairs of distinct texts.
 
@@ -217,7 +240,7 @@ def near_pairs(texts: DataFrame, common: float = COMMON) -> DataFrame:
 
     # one exchange serves both sides of the join
     balls = texts.select("text_key", "n_lines", "lines").mapInArrow(sliced(emit), "variant long, key long").repartition("variant")
-    met = balls.join(balls.withColumnRenamed("key", "key_b"), "variant").where("key < key_b").groupBy(F.col("key").alias("key_a"), "key_b").agg(F.sum(F.when(F.col("variant") % 2 == 0, 1).otherwise(LEAST_MET)).alias("n_met"))
+    met = meetings(balls).groupBy("key_a", "key_b").agg(F.sum(F.when(F.col("variant") % 2 == 0, 1).otherwise(LEAST_MET)).alias("n_met"))
     met = met.where(F.col("n_met") >= LEAST_MET).select("key_a", "key_b")
     # only texts that met another go on to the verification
     met = materialise(met, "met")
@@ -231,12 +254,20 @@ def near_pairs(texts: DataFrame, common: float = COMMON) -> DataFrame:
 
 def classes(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: id, text_key; texts: text_key, n_lines, lines), both written once."""
-    rows = materialise(entry_lines(entries), "lines")
+    rows = unique_keys(materialise(entry_lines(entries), "lines"))
     members = rows.select("id", "text_key").distinct()
     texts = rows.groupBy("text_key").agg(F.first("n_lines").alias("n_lines"), F.first("lines").alias("lines"))  # equal within a key
     return members, materialise(texts, "texts")
 
 
+def unique_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` without ``check``: a text_key that several checks share is replaced by a hash of both."""
+    shared = rows.groupBy("text_key").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("text_key", F.lit(True).alias("shared"))
+    if shared.isEmpty():
+        return rows.drop("check")
+    return rows.join(shared, "text_key", "left").withColumn("text_key", F.when(F.col("shared"), F.xxhash64("text_key", "check")).otherwise(F.col("text_key"))).drop("shared", "check")
+
+
 def found_pairs(entries: DataFrame) -> DataFrame:
     """id_a, id_b (id_a < id_b) of all pairs of entries, equal texts included."""
     members, texts = classes(entries)
@@ -247,7 +278,7 @@ def found_pairs(entries: DataFrame) -> DataFrame:
     return across.unionAll(same).where("id_a < id_b").distinct()
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, label (least node of its component) for every node of ``edges``.
 
     Each round hooks every node to the least label around it and halves the paths;
@@ -256,16 +287,16 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
     both = materialise(both.unionAll(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "edges")
     labels = materialise(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         heard = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("heard"))
         hooked = labels.join(heard, "node").select("node", F.least("label", "heard").alias("low"), "label")
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
         new = materialise(hooked.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("label"), F.col("label").alias("old")), "labels")
-        moved = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not moved:
-            return labels
-    raise RuntimeError("components did not settle")
+        moved = not new.where("label <> old").isEmpty()
+        discard(labels)
+        labels = new
+        if not moved:  # labels only fall, so this comes
+            return labels.select("node", "label")
 
 
 def duplicate_groups(entries: DataFrame) -> DataFrame:
