@@ -56,9 +56,9 @@ def encode_words(words: DataFrame, tokenizer: str, folder: str) -> DataFrame:
     """Add ``ids`` to a table of distinct pre-tokens."""
 
     def run(batches):
-        piece = encoding(tokenizer, folder)._encode_single_piece
+        encode = encoding(tokenizer, folder).encode_ordinary  # a pre-token is cut no further
         for b in batches:
-            ids = [piece(w.encode("utf-8")) for w in b.column(0).to_pylist()]
+            ids = [encode(w) for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
     return words.mapInArrow(sliced(run), "word string, n long, ids array<int>")

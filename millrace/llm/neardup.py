@@ -207,7 +207,8 @@ def meetings(balls: DataFrame, block: int = BLOCK) -> DataFrame:
     A variant of more than ``block`` keys is dealt into blocks by the keys' hash and
     joined by pairs of blocks, so no task holds it whole.
     """
-    heavy = balls.groupBy("variant").agg(F.count("*").alias("n")).where(F.col("n") > block).select("variant", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    # counting the key keeps one exchange for all readers; the exchange behind it lets an empty table drop the joins at run time
+    heavy = balls.groupBy("variant").agg(F.count("key").alias("n")).where(F.col("n") > block).select("variant", F.ceil(F.col("n") / block).cast("int").alias("blocks")).repartition("variant")
     light = balls.join(heavy, "variant", "left_anti")
     small = light.join(light.withColumnRenamed("key", "key_b"), "variant").where("key < key_b").select("variant", F.col("key").alias("key_a"), "key_b")
     dealt = balls.join(heavy, "variant").select("variant", "key", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("at"))

@@ -56,8 +56,13 @@ def prose_words(text: str) -> list[str]:
 def english_prose(documents: DataFrame) -> DataFrame:
     """doc_id, text of the documents that get a level."""
     kept = documents.where((F.lower(F.trim("lang")) == "en") & F.lower(F.trim("domain")).isin(DOMAINS) & F.col("text").isNotNull())
-    kept = kept.where(F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")) >= LEAST_WORDS)
-    return kept.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("text").alias("text"))
+    kept = kept.where(F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")) >= LEAST_WORDS).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # texts are not shuffled: only those whose id does recur are compared
+    again = materialise(kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return kept
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return kept.join(again, "doc_id", "left_anti").unionByName(one)
 
 
 def word_pairs(texts: DataFrame) -> DataFrame:
