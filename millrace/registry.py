@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from millrace.operators import chunking, diagnosis, facts, graph, lines, metadata, mutations, nested, paths, symbols, vectors, web
-from millrace.plans import pipelines
+from millrace.plans import pipelines, warehouse
 from millrace.streaming import events
 
-_MODULES = [nested, metadata, vectors, paths, facts, chunking, lines, web, diagnosis, graph, symbols, mutations, pipelines, events]
+_MODULES = [nested, metadata, vectors, paths, facts, chunking, lines, web, diagnosis, graph, symbols, mutations, pipelines, warehouse, events]
 FLAGSHIP = pipelines.QUERIES["plan_analyze"]
 
 

@@ -1,14 +1,13 @@
 """The metadata store: typed tables in a folder, with inserts, updates and deletes.
 
-Tables are Parquet folders.  Appends write files beside the others; an update or
-delete writes the table anew beside the old one and swaps the folders, so readers
-of the old files are not disturbed and a lost job leaves the old table in place.
+A table is a folder of versions, each of them a Parquet folder; the newest version that
+was written to its end is the table.  Appends add files to it.  An update or delete writes
+the next version beside it and only then drops the older ones, so there is a whole table
+at any moment and a lost job leaves the one before.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,23 +34,31 @@ class MetadataStore:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     # --- tables
-    def path(self, name: str) -> str:
-        return f"{self.folder}/{name}"
+    def _versions(self, name: str) -> list[int]:
+        """Numbers of the versions that were written to their end, rising."""
+        make, fs = self._fs()
+        at = make(f"{self.folder}/{name}")
+        if not fs.exists(at):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(at)]
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(make(f"{self.folder}/{name}/{n}/_SUCCESS")))
+
+    def path(self, name: str, version: int | None = None) -> str:
+        """Folder of a version of a table; of the newest one if none is named."""
+        if version is None:
+            version = (self._versions(name) or [0])[-1]
+        return f"{self.folder}/{name}/v{version:08}"
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.folder)
         return jvm.org.apache.hadoop.fs.Path, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _exists(self, path: str) -> bool:
-        make, fs = self._fs()
-        return fs.exists(make(path))
-
     def bootstrap(self) -> None:
         """Create what is missing; a second call changes nothing."""
         for name, schema in SCHEMAS.items():
-            if not self._exists(self.path(name)):
-                self.spark.createDataFrame([], schema).write.parquet(self.path(name))
+            if not self._versions(name):
+                self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(self.path(name, 0))
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
@@ -69,13 +76,14 @@ class MetadataStore:
         rows.select(*cols).write.mode("append").parquet(self.path(name))
 
     def _swap(self, name: str, rows: DataFrame) -> None:
+        """Write ``rows`` as the next version, then drop the older ones."""
         make, fs = self._fs()
-        new, old = f"{self.path(name)}.new-{uuid.uuid4().hex}", f"{self.path(name)}.old-{uuid.uuid4().hex}"
-        rows.select(*[f.name for f in SCHEMAS[name].fields]).write.parquet(new)
-        fs.rename(make(self.path(name)), make(old))
-        fs.rename(make(new), make(self.path(name)))
-        fs.delete(make(old), True)
-        self.spark.catalog.refreshByPath(self.path(name))
+        before = self._versions(name)
+        new = self.path(name, (before or [-1])[-1] + 1)
+        # what a lost job may have left there is overwritten
+        rows.select(*[f.name for f in SCHEMAS[name].fields]).write.mode("overwrite").parquet(new)
+        for v in before:
+            fs.delete(make(self.path(name, v)), True)
 
     def compact(self, name: str, files: int = 1) -> None:
         """The same rows in fewer files."""
@@ -134,14 +142,18 @@ class MetadataStore:
 
     def seed_settings(self) -> None:
         """Default settings whose key is not there yet."""
-        have = {r["key"] for r in self.read("code_entries").where("language = 'config'").select(F.get_json_object("metadata", "$.key").alias("key")).distinct().where(F.col("key").isin(list(DEFAULT_SETTINGS))).collect()}
-        for key, value in DEFAULT_SETTINGS.items():
-            if key not in have:
-                self.set_setting(key, value)
+        wanted = self.spark.createDataFrame(sorted(DEFAULT_SETTINGS.items()), "key string, value string")
+        have = self.read("code_entries").where("language = 'config'").select(F.get_json_object("metadata", "$.key").alias("key"))
+        rows = wanted.join(have, "key", "left_anti")
+        self.insert_entries(rows.select(F.concat("key", F.lit("="), "value").alias("code"), F.lit("config").alias("language"), F.col("key").alias("function_name"), F.lit("system").alias("project"), F.to_json(F.struct("key", "value")).alias("metadata")))
 
     # --- updates and deletes
     def update_entries(self, changes: DataFrame) -> int:
-        """Overwrite the given columns of entries by id; returns how many ids were not found."""
+        """Overwrite the given columns of entries by id; returns how many ids were not found.
+
+        Of several changes for one id the greatest row counts.
+        """
+        changes = changes.groupBy("id").agg(F.max(F.struct(*[c for c in changes.columns if c != "id"])).alias("_c")).select("id", "_c.*")
         fields = [f.name for f in ENTRY.fields if f.name in changes.columns and f.name != "id"]
         c = changes.select("id", F.lit(True).alias("_hit"), *(F.col(n).alias(f"_{n}") for n in fields))
         joined = self.read("code_entries").join(c, "id", "left")
