@@ -37,8 +37,8 @@ null language counts as code; repeated ids count once.  Line hashes have 64 bits
 are equal if two hashes of 64 bits over all their lines are, and a key that two
 unequal texts share is replaced by one of both hashes.
 
-A variant on which very many texts meet is no single task: its texts are dealt into
-blocks, and each pair of blocks is joined by itself.
+A variant on which very many texts meet is no single task: the adaptive skew join deals
+its partition over many.
 """
 
 from __future__ import annotations
@@ -56,8 +56,6 @@ from millrace.runtime import discard, materialise, sliced
 
 SHARE_NUM, SHARE_DEN = 3, 4
 COMMON, COMMON_LEAST = 1e-4, 16
-#: Texts that meet on one variant are joined in blocks of about this many.
-BLOCK = 256
 #: Pairs whose longer text has more than SHORT lines must meet on LEAST_MET of their rarest lines.
 SHORT, LEAST_MET = 15, 3
 
@@ -201,21 +199,16 @@ def _list_parts(col) -> tuple[np.ndarray, np.ndarray]:
     return col.values.to_numpy()[offsets[0] : offsets[-1]], np.diff(offsets)
 
 
-def meetings(balls: DataFrame, block: int = BLOCK) -> DataFrame:
+def meetings(balls: DataFrame) -> DataFrame:
     """variant, key_a, key_b (key_a < key_b) of all keys that share a variant (``balls``: variant, key).
 
-    A variant of more than ``block`` keys is dealt into blocks by the keys' hash and
-    joined by pairs of blocks, so no task holds it whole.
+    Both sides are the same exchange, which is written once; its partitions are those of
+    a join, so that the adaptive skew join deals one that a hot variant fills over many
+    tasks, each with a part of one side.
     """
-    # counting the key keeps one exchange for all readers; the exchange behind it lets an empty table drop the joins at run time
-    heavy = balls.groupBy("variant").agg(F.count("key").alias("n")).where(F.col("n") > block).select("variant", F.ceil(F.col("n") / block).cast("int").alias("blocks")).repartition("variant")
-    light = balls.join(heavy, "variant", "left_anti")
-    small = light.join(light.withColumnRenamed("key", "key_b"), "variant").where("key < key_b").select("variant", F.col("key").alias("key_a"), "key_b")
-    dealt = balls.join(heavy, "variant").select("variant", "key", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("at"))
-    left = dealt.select("variant", F.col("key").alias("a"), F.col("at").alias("i"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("j"))
-    right = dealt.select("variant", F.col("key").alias("b"), F.explode(F.sequence(F.lit(0), "at")).alias("i"), F.col("at").alias("j"))
-    large = left.join(right, ["variant", "i", "j"]).where("i < j OR a < b").where("a <> b")
-    return small.unionAll(large.select("variant", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")))
+    a, b = balls.alias("a"), balls.alias("b")
+    met = a.join(b, (F.col("a.variant") == F.col("b.variant")) & (F.col("a.key") < F.col("b.key")))
+    return met.select(F.col("a.variant").alias("variant"), F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))
 
 
 def near_pairs(texts: DataFrame, common: float = COMMON) -> DataFrame:
@@ -239,8 +232,7 @@ def near_pairs(texts: DataFrame, common: float = COMMON) -> DataFrame:
                 for v, o in ((v | 1, o), prefix_keys(keys[k : k + 1000], n, lines, *shared.value)):
                     yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(o)], ["variant", "key"])
 
-    # one exchange serves both sides of the join
-    balls = texts.select("text_key", "n_lines", "lines").mapInArrow(sliced(emit), "variant long, key long").repartition("variant")
+    balls = texts.select("text_key", "n_lines", "lines").mapInArrow(sliced(emit), "variant long, key long")
     met = meetings(balls).groupBy("key_a", "key_b").agg(F.sum(F.when(F.col("variant") % 2 == 0, 1).otherwise(LEAST_MET)).alias("n_met"))
     met = met.where(F.col("n_met") >= LEAST_MET).select("key_a", "key_b")
     # only texts that met another go on to the verification

@@ -126,12 +126,12 @@ def test_counts_on_all_tables(spark, data):
     assert {tuple(r) for r in neardup.found_pairs(e).collect()} == brute(rows)
 
 
-def test_blocks_give_all_meetings(spark):
+def test_all_meetings(spark):
     rng = random.Random(8)
     rows = [(1, k) for k in range(700)] + [(2, k) for k in range(40)] + [(v, rng.randrange(1000)) for v in range(3, 60) for _ in range(6)]
     rows = sorted(set(rows))
-    balls = spark.createDataFrame(rows, "variant long, key long").repartition("variant")
-    got = [tuple(r) for r in neardup.meetings(balls, block=64).collect()]
+    balls = spark.createDataFrame(rows, "variant long, key long")
+    got = [tuple(r) for r in neardup.meetings(balls).collect()]
     want = {(v, a, b) for v in {r[0] for r in rows} for a, b in itertools.combinations(sorted(k for w, k in rows if w == v), 2)}
     assert set(got) == want and len(got) == len(want)
 
@@ -140,3 +140,20 @@ def test_keys_that_two_texts_share(spark):
     rows = spark.createDataFrame([("a", 5, 1), ("b", 5, 2), ("c", 5, 1), ("d", 6, 1)], "id string, text_key long, check long")
     got = {r.id: r.text_key for r in neardup.unique_keys(rows).collect()}
     assert got["a"] == got["c"] != got["b"] and got["d"] == 6
+
+
+def test_hot_variants_are_dealt_over_tasks(spark):
+    """A partition that one variant fills is split at run time."""
+    names = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4096", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2048", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        balls = spark.range(6000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).cast("long").alias("variant"), F.col("id").alias("key")).repartition(8)
+        met = neardup.meetings(balls)
+
+        assert met._jdf.queryExecution().toRdd().count() == 2000 * 1999 // 2
+        assert "skew=true" in met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
