@@ -57,7 +57,7 @@ def manifest_dependencies(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {"sink_store": store_round, "scan_commands": build_commands, "scan_manifests": manifest_dependencies}
 _LEFT = "NOT ends_with(id, '0') AND coalesce(project, 'default') <> 'hexwire'"
 ORACLE_SQL = {
-    "sink_store": f"""WITH e AS (SELECT * FROM code_entries WHERE {_LEFT}), h AS (SELECT DISTINCT json_extract_string(metadata, '$.key') AS key FROM e WHERE language = 'config' AND json_valid(metadata)),
+    "sink_store": f"""WITH e AS (SELECT * FROM code_entries WHERE {_LEFT}), h AS (SELECT DISTINCT CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.key') END AS key FROM e WHERE language = 'config'),
         s AS (SELECT count(*) AS n FROM (SELECT unnest([{', '.join(repr(k) for k in sorted(DEFAULT_SETTINGS))}]) AS key) WHERE key NOT IN (SELECT key FROM h WHERE key IS NOT NULL))
         SELECT 'code_entries' AS table_name, (SELECT count(*) FROM e) + n AS n_rows, (SELECT count(*) FROM e) + n AS n_ids FROM s
         UNION ALL SELECT 'conversion_results', count(*), count(DISTINCT id) FROM conversion_results WHERE source_id IN (SELECT id FROM e)
