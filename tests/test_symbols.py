@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import runtime
 from millrace.functions import code as C
 from millrace.functions import html as H
 from millrace.operators import graph, symbols
@@ -49,6 +50,30 @@ def test_call_chain_ends_in_cycles(spark):
     assert got == {("a", "a"): 0, ("a", "b"): 1, ("a", "c"): 2, ("x", "x"): 0, ("q", "q"): 0}
 
 
+def test_call_chain_writes_only_the_calls(spark):
+    """A ring with a fan: 120 x 150 rows come out, but no chain is written or shuffled on the way."""
+    ring = [(f"f{k:03}", f"f{(k + 1) % 120:03}") for k in range(120)]
+    calls = spark.createDataFrame(ring + [("f000", f"leaf{k}") for k in range(30)] + ring[:5], "caller string, callee string")
+    roots = spark.createDataFrame([(f"f{k:03}",) for k in range(120)] + [("f000",), ("leaf1",), ("alone",), (None,)], "name string")
+    before = len(runtime._written)
+    walked = symbols.call_chain(calls, roots)
+    assert [p.split("millrace-")[-1].split("-")[0] for _, p in runtime._written[before:]] == ["calls"]
+    rows = walked.collect()
+    want = {(f"f{a:03}", f"f{b:03}", (b - a) % 120) for a in range(120) for b in range(120)}
+    want |= {(f"f{a:03}", f"leaf{k}", (-a) % 120 + 1) for a in range(120) for k in range(30)} | {(x, x, 0) for x in ("leaf1", "alone", None)}
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+
+
+def test_call_chain_walked_or_by_rounds(spark):
+    calls = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", None), ("x", "x"), (None, "y"), ("d", "a"), ("d", "c"), ("d", "e"), ("a", "b")], "caller string, callee string")
+    roots = spark.createDataFrame([(x,) for x in "abcdexq"], "name string")
+    walked, rounds = (sorted(symbols.call_chain(calls, roots, n).collect(), key=repr) for n in (100, 0))
+    assert walked == rounds
+    assert {(r.name, r.hops) for r in walked if r.root == "d"} == {("d", 0), ("a", 1), ("c", 1), ("e", 1), ("b", 2), (None, 3)}
+    none = symbols.call_chain(calls.where("caller = 'x'"), roots.where("name < 'b'"))
+    assert [tuple(r) for r in none.collect()] == [("a", "a", 0)]
+
+
 def test_levels_without_a_bound(spark):
     nodes = spark.createDataFrame([(1, f"n{k:02}") for k in range(14)], "g int, n string")
     edges = spark.createDataFrame([(1, f"n{k:02}", f"n{k - 1:02}") for k in range(1, 14)], "g int, n string, needs string")
