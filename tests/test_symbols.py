@@ -74,6 +74,33 @@ def test_call_chain_walked_or_by_rounds(spark):
     assert [tuple(r) for r in none.collect()] == [("a", "a", 0)]
 
 
+def test_call_chain_of_many_calls_writes_only_the_calls(spark):
+    calls = spark.range(5_000_001).select(F.concat(F.lit("f"), F.col("id") % 1000).alias("caller"), F.concat(F.lit("g"), F.col("id")).alias("callee"))
+    before = len(runtime._written)
+    walked = symbols.call_chain(calls, spark.createDataFrame([("f0",), ("g7",)], "name string"))
+    assert [p.split("millrace-")[-1].split("-")[0] for _, p in runtime._written[before:]] == ["calls"]
+    assert {(r.root, r.hops): r["count"] for r in walked.groupBy("root", "hops").count().collect()} == {("f0", 0): 1, ("f0", 1): 5001, ("g7", 0): 1}
+
+
+@pytest.mark.parametrize("most", [1, 40, 1000])
+def test_graph_written_in_groups(spark, most):
+    """Groups of files end anywhere, a task's files may be several, parts may be empty; names stand once all the same."""
+    pairs = [(f"n{a}", f"n{a * k % 53}") for a in range(40) for k in (2, 3, 7)] + [("n1", None), ("é", "n52"), ("n52", "é"), ("n52", "")]
+    pairs = sorted({p for p in pairs if p[0] != p[1]}, key=repr)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 5)
+    try:
+        step = runtime.materialise(spark.createDataFrame(pairs, "name string, callee string").repartition(9, "callee"), "calls")
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    symbols.write_graph(step._scratch_path, f"{step._scratch_path}/_graph-{most}", most)
+    g = symbols.CallGraph(f"{step._scratch_path}/_graph-{most}")
+    names = g.names.to_pylist()
+    assert names[-1] is None and len(set(names)) == len(names)
+    assert g.callers.to_pylist() == names[: len(g.callers)] and set(g.callers.to_pylist()) == {a for a, _ in pairs}
+    assert sorted(((names[k], names[c]) for k in range(len(g.callers)) for c in g.callees[g.first[k] : g.first[k + 1]]), key=repr) == pairs
+    assert not g.callees.flags.owndata and not g.callees.flags.writeable
+
+
 def test_levels_without_a_bound(spark):
     nodes = spark.createDataFrame([(1, f"n{k:02}") for k in range(14)], "g int, n string")
     edges = spark.createDataFrame([(1, f"n{k:02}", f"n{k - 1:02}") for k in range(1, 14)], "g int, n string, needs string")
